@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphflow.llm import decontaminate, quality, sharding, token_counts
+from glyphflow.llm import decontaminate, pii, quality, secrets, sharding, simhash, token_counts
 from glyphflow.llm.common import table
 
 
@@ -16,6 +16,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def _of_kind(spans, kind: str):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_counts.count(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -29,6 +33,18 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_docs(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [_of_kind(base, k) for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(_docs(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), simhash.hexed().alias("fingerprint"), "component_id")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality.ledger(_docs(spark, sf_dir))
     return book.select(
@@ -87,11 +103,22 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(places.n, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN places USING (rid) LEFT JOIN owners USING (rid)
 """
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    spans = F.col("secret_spans")
+    base = F.filter(spans, lambda s: s["kind"].isin(*secrets.BASE))
+    counts = [_of_kind(spans, k) for k in secrets.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(spans).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
+    "op3_pii": op3_pii,
+    "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
     "op7_decontamination": op7_decontamination,
+    "op9_secrets": op9_secrets,
 }
 
 SQL: dict[str, str] = {"op5_quality_rules": OP5_SQL, "op7_decontamination": OP7_SQL}
