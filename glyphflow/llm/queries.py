@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphflow.llm import decontaminate, pii, quality, secrets, sharding, simhash, token_counts
+from glyphflow.llm import bpe, ctw, decontaminate, langid, pii, quality, secrets, sharding, simhash, token_counts
 from glyphflow.llm.common import table
 
 
@@ -75,6 +75,11 @@ FROM b
 """
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.predict(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -103,6 +108,10 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(places.n, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN places USING (rid) LEFT JOIN owners USING (rid)
 """
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(_docs(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     spans = F.col("secret_spans")
@@ -111,14 +120,22 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(spans).alias("spans"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.encode(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return found.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
     "op3_pii": op3_pii,
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
+    "op6_language_id": op6_language_id,
     "op7_decontamination": op7_decontamination,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_secrets": op9_secrets,
+    "op10_bpe": op10_bpe,
 }
 
 SQL: dict[str, str] = {"op5_quality_rules": OP5_SQL, "op7_decontamination": OP7_SQL}
