@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import base64
 import json
+import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,10 +33,16 @@ from pyspark.sql import types as T
 from glyphflow.llm.common import chunks, materialise
 
 BUCKETS = 8192
-FREQUENT = 1 << 20
+FREQUENT = 1 << 21
 LONG = 128
 GATHER = 500_000
-CACHE = 300_000
+CACHE = 250_000
+#: What stands between pieces, a letter that no byte is written as.
+GAP = "\u0100"
+#: Bytes of text that a worker holds in pieces at once.
+PIECE = 8 << 20
+#: Stands for the ids, and for the text, of a pre-token that is still to be folded; a pre-token that holds MARK itself is always folded.
+HOLE, MARK = "_", "\ufdd0"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -57,53 +65,65 @@ class Codec:
         for piece, rank in ranks.items():
             if len(piece) == 2:
                 pairs[piece[0] * 256 + piece[1]] = rank
-        self.ranks = F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), "array<map<string,int>>")
-        self.pieces = F.from_json(F.lit(json.dumps(pieces, ensure_ascii=False)), "array<string>")
-        self.none = 2**31 - 1
-        self.pairs = F.from_json(F.lit(json.dumps([None if r < 0 else r for r in pairs])), "array<int>")
+        tables = {"ranks": buckets, "pairs": [None if r < 0 else r for r in pairs], "pieces": pieces}
+        self.tables = F.from_json(
+            F.lit(json.dumps(tables, ensure_ascii=False)), "struct<ranks:array<map<string,int>>,pairs:array<int>,pieces:array<string>>"
+        )
+
+    def using(self, body) -> Column:
+        """``body`` of the tables, which the plan holds once: every copy would travel with every task."""
+        return _let(self.tables, body)
 
-    def rank(self, piece: Column) -> Column:
-        return F.element_at(F.get(self.ranks, F.xxhash64(piece).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), piece)
+    @staticmethod
+    def rank(tables: Column, piece: Column) -> Column:
+        return F.element_at(F.get(tables["ranks"], F.xxhash64(piece).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), piece)
 
-    def fold(self, letters: Column) -> Column:
-        """Ids of one pre-token, whose bytes are the column's letters."""
-        none = F.array().cast("array<int>")
+    def fold(self, tables: Column, letters: Column) -> Column:
+        """Ids of one pre-token, whose bytes are the column's letters.
+
+        The state is (pieces joined by GAP, rank of each adjacent pair, place of the pair to join). Steps alternate: find the leftmost pair of
+        lowest rank, then join it and look up the two pairs that it now forms. Strings and one array keep a step free of array concatenation."""
+        parts = lambda p, n: F.call_function("substring_index", p, F.lit(GAP), n)
+        three = lambda p, last: F.replace(parts(parts(p, last), F.lit(-3)), F.lit(GAP), F.lit(""))
 
         def step(acc: Column, _: Column) -> Column:
-            p, r = acc["p"], acc["r"]
-
-            def merge(at: Column) -> Column:
-                i, joined = at["i"], at["m"]
-                left = F.when(i > 1, F.array(self.rank(F.concat(F.get(p, i - 2), joined)))).otherwise(none)
-                right = F.when(i + 1 < F.size(p), F.array(self.rank(F.concat(joined, F.get(p, i + 1))))).otherwise(none)
-                return F.struct(
-                    F.concat(F.slice(p, F.lit(1), i - 1), F.array(joined), F.slice(p, i + 2, F.size(p))).alias("p"),
-                    F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(p))).alias("r"),
-                )
-
-            def found(i: Column) -> Column:
-                return _let(F.struct(i.alias("i"), F.concat(F.get(p, i - 1), F.get(p, i)).alias("m")), merge)
-
-            return _let(
-                F.array_min(r), lambda low: F.when(low.isNull(), acc).otherwise(_let(F.array_position(r, low).cast("int"), found))
+            p, r, i = acc["p"], acc["r"], acc["i"]
+            find = F.struct(p.alias("p"), r.alias("r"), F.array_position(r, F.array_min(r)).cast("int").alias("i"))
+            ranks = F.transform(
+                r,
+                lambda x, j: F.when((j < i - 2) | (j > i), x)
+                .when(j == i - 2, self.rank(tables, three(p, i + 1)))
+                .when(j == i, self.rank(tables, three(p, i + 2)))
+                .otherwise(F.lit(-1)),
             )
+            join = F.struct(F.concat(parts(p, i), parts(p, i - F.size(r) - 1)).alias("p"), F.array_remove(ranks, -1).alias("r"), F.lit(None).cast("int").alias("i"))
+            return F.when(i.isNull(), find).otherwise(join)
 
         codes = F.transform(F.split(letters, ""), lambda c: F.ascii(c))
         first = F.transform(
-            F.slice(codes, F.lit(2), F.greatest(F.length(letters) - 1, F.lit(0))),
-            lambda c, i: F.get(self.pairs, F.ascii(F.substr(letters, i + 1, F.lit(1))) * 256 + c),
+            F.slice(codes, F.lit(2), F.length(letters)),
+            lambda c, i: F.get(tables["pairs"], F.ascii(F.substr(letters, i + 1, F.lit(1))) * 256 + c),
         )
         merged = F.aggregate(
-            F.sequence(F.lit(1), F.greatest(F.length(letters) - 1, F.lit(1))),
-            F.struct(F.split(letters, "").alias("p"), first.alias("r")),
+            F.sequence(F.lit(1), 2 * F.length(letters)),
+            F.struct(F.array_join(F.split(letters, ""), GAP).alias("p"), first.alias("r"), F.lit(None).cast("int").alias("i")),
             step,
-            lambda acc: F.transform(acc["p"], self.rank),
+            lambda acc: F.transform(F.split(acc["p"], GAP), lambda piece: self.rank(tables, piece)),
         )
-        return _let(self.rank(letters), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(merged))
+        return _let(self.rank(tables, letters), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(merged))
 
-    def unfold(self, ids: Column) -> Column:
+    def unfold(self, tables: Column, ids: Column) -> Column:
         """The bytes of these ids as text."""
-        return F.decode(F.encode(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""), "ISO-8859-1"), "UTF-8")
+        return F.decode(F.encode(F.array_join(F.transform(ids, lambda i: F.get(tables["pieces"], i)), ""), "ISO-8859-1"), "UTF-8")
+
+    def code(self, letters: Column) -> Column:
+        """(ids, text they decode to) of one pre-token."""
+        return self.using(lambda t: _let(self.fold(t, letters), lambda ids: F.struct(ids.alias("ids"), self.unfold(t, ids).alias("text"))))
+
+    def codes(self, words: Column) -> Column:
+        """The same for each of an array."""
+        each = lambda t: F.transform(words, lambda w: _let(self.fold(t, w), lambda ids: F.struct(F.array_join(ids, ",").alias("ids"), F.size(ids).alias("n"), self.unfold(t, ids).alias("text"))))
+        return self.using(each)
 
 
 def _let(value: Column, body) -> Column:
@@ -115,8 +135,22 @@ def letters(word: Column) -> Column:
 
 
 def splitter(pattern: str):
-    """The pattern with the white space of Unicode, as the library reads it."""
-    return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+    """Function from a text to its pre-tokens. White space is that of Unicode, as the library reads it; ASCII texts go by the same pattern over ASCII classes."""
+    inside = {r"\s": r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"}
+    plain = {r"\s": r"\t-\r ", r"\p{L}": "A-Za-z", r"\p{N}": "0-9"}
+
+    def spelled(classes: dict[str, str]) -> str:
+        def one(m: re.Match) -> str:
+            if m[0].startswith("["):
+                return re.sub(r"\\(?:s|p\{\w+\})", lambda c: classes.get(c[0], c[0]), m[0])
+            if m[0] == r"\S":
+                return f"[^{classes[chr(92) + 's']}]"
+            return f"[{classes[m[0]]}]" if m[0] in classes else m[0]
+
+        return re.sub(r"\[[^\]]*\]|\\(?:s|S|p\{\w+\})", one, pattern)
+
+    short, full = re.compile(spelled(plain)).findall, regex.compile(spelled(inside)).findall
+    return lambda text: short(text) if text.isascii() else full(text)
 
 
 def _counted(df: DataFrame, pattern: str) -> DataFrame:
@@ -127,7 +161,7 @@ def _counted(df: DataFrame, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([words[w] for w in part], pa.int64())], names=["word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, words = splitter(pattern).findall, Counter()
+        find, words = splitter(pattern), Counter()
         for batch in chunks(batches):
             for t in batch.column("text").to_pylist():
                 if t:
@@ -141,28 +175,25 @@ def _counted(df: DataFrame, pattern: str) -> DataFrame:
 
 
 class Codes:
-    """Codes of the frequent pre-tokens: hashes in order, and for each its ids as decimal text, number of ids and decoded bytes."""
+    """Codes of the frequent pre-tokens: hashes in order, and for each a checksum and its ids as decimal text."""
 
     def __init__(self, found: pa.Table):
-        h = found["h"].to_numpy()
-        order = np.argsort(h)
-        self.hashes = h[order]
-        self.ids, self.decoded = found["ids"].take(pa.array(order)).combine_chunks(), found["decoded"].take(pa.array(order)).combine_chunks()
-        self.n = found["n_ids"].to_numpy()[order]
-
-    def look(self, words: list[str]) -> Iterator[tuple[str, tuple[str, int, str] | None]]:
-        """For each word its code, or None if it isn't among the frequent."""
-        if not len(self.hashes):
-            yield from ((w, None) for w in words)
-            return
-        h = np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in words], dtype=np.uint64).view(np.int64)
+        self.hashes, self.sums = found["h"].to_numpy(), found["crc"].to_numpy().astype(np.uint32)
+        self.ids = found["ids"].combine_chunks()
+
+    def look(self, words: list[str]) -> list[str]:
+        """For each word its ids, or HOLE if it isn't among the frequent."""
+        if not len(self.hashes) or not words:
+            return [HOLE] * len(words)
+        data = [w.encode() for w in words]
+        h = np.array([xxhash.xxh64_intdigest(d, 42) for d in data], dtype=np.uint64).view(np.int64)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        hit = self.hashes[at] == h
-        places = pa.array(at[hit])
-        known = iter(zip(self.ids.take(places).to_pylist(), self.n[at[hit]].tolist(), self.decoded.take(places).to_pylist()))
-        for w, ok in zip(words, hit.tolist()):
-            code = next(known) if ok else None
-            yield w, code if code is not None and code[2] == w else None
+        hit = np.flatnonzero((self.hashes[at] == h) & (self.sums[at] == np.array([zlib.crc32(d) for d in data], dtype=np.uint32)))
+        out = [HOLE] * len(words)
+        for i, ids in zip(hit.tolist(), self.ids.take(pa.array(at[hit])).to_pylist()):
+            if MARK not in words[i]:
+                out[i] = ids
+        return out
 
 
 def threshold(words: DataFrame, most: int) -> int | None:
@@ -186,65 +217,74 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text",
     often = words.where((F.col("n") >= (least or 0)) & (F.octet_length("word") <= LONG)).select("word", letters(F.col("word")).alias("b"))
     if least is None:
         often = often.limit(0)
-    found = often.select("word", codec.fold(F.col("b")).alias("ids")).select(
-        F.xxhash64("word").alias("h"), F.array_join("ids", ",").alias("ids"), F.size("ids").alias("n_ids"), codec.unfold(F.col("ids")).alias("decoded")
+    coded = often.select("word", codec.code(F.col("b")).alias("c"))
+    found = materialise(  # the filter comes after, else it is pushed down with a fold of its own
+        coded.select(
+            F.xxhash64("word").alias("h"), F.crc32(F.col("word").cast("binary")).alias("crc"), F.array_join("c.ids", ",").alias("ids"), (F.col("c.text") == F.col("word")).alias("whole")
+        ),
+        "bpe-codes",
     )
-    shared = spark.sparkContext.broadcast((vars(Codes(materialise(found, "bpe-codes").toArrow())), ranks))  # at most ``frequent`` codes of LONG bytes
+    shared = spark.sparkContext.broadcast((vars(Codes(found.where("whole").orderBy("h").select("h", "crc", "ids").toArrow())), ranks))  # at most ``frequent`` codes of LONG bytes
     rest = [c for c in df.columns if c != text_col]
     split = _split(df, text_col, rest, shared, pattern)
-    coded = split.select(*rest, "n_known", "runs", "plain", F.transform("others", codec.fold).alias("codes"))
-    k = F.size("runs")
-    mixed = lambda runs, own: F.flatten(F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.array(F.get(runs, i), own(F.get("codes", i)))))
-    ids = F.array_join(F.filter(mixed("runs", lambda c: F.array_join(c, ",")), lambda s: s != ""), ",")
-    return coded.select(
-        *rest,
-        ids.alias("ids_text"),
-        (F.col("n_known") + F.aggregate("codes", F.lit(0).cast("long"), lambda n, c: n + F.size(c))).alias("n_tokens"),
-        F.array_join(mixed("plain", codec.unfold), "").alias("decoded"),
-    )
+    coded = split.select(*rest, "known", "plain", "n_known", F.when(F.size("others") > 0, codec.codes(F.col("others"))).alias("codes"))
+    whole = F.col("codes").isNull()
+    ids = F.when(whole, F.col("known")).otherwise(_mix("known", HOLE, F.col("codes.ids")))
+    decoded = F.when(whole, F.col("plain")).otherwise(_mix("plain", MARK, F.col("codes.text")))
+    n = F.col("n_known") + F.coalesce(F.aggregate("codes.n", F.lit(0).cast("long"), lambda total, k: total + k), F.lit(0))
+    return coded.select(*rest, ids.alias("ids_text"), n.alias("n_tokens"), decoded.alias("decoded"))
+
+
+def _mix(runs: str, mark: str, between: Column) -> Column:
+    """The column's text with its k-th mark replaced by the k-th string."""
+    # strings and gaps alternate; one gap more than strings
+    return F.array_join(F.flatten(F.zip_with(F.split(runs, mark, -1), F.concat(between, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
 
 
 def _split(df: DataFrame, text_col: str, rest: list[str], shared, pattern: str) -> DataFrame:
-    """Known codes in runs, and between each two runs a pre-token that is still to be folded, as letters."""
+    """Known codes as text and the texts they stand for, with a sign for each pre-token that is still to be folded; and these, as letters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
         table, ranks = shared.value
         codes = Codes.__new__(Codes)
         codes.__dict__ = table
-        find = splitter(pattern).findall
-        merge = tiktoken.Encoding("own", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
-        known: dict[str, tuple[str, int, str] | None] = {}
-        for batch in chunks(batches, text_col):
-            if len(known) > CACHE:
-                known = {}
-            each = [find(t) if t else [] for t in batch.column(text_col).to_pylist()]
-            new = list(set().union(*each).difference(known)) if each else []
-            known.update(codes.look(new))
+        find, merge = splitter(pattern), None
+        ids_of: dict[str, str] = {}
+        for batch in chunks(batches, text_col, PIECE):
+            if len(ids_of) > CACHE:
+                ids_of = {}
+            texts = [t or "" for t in batch.column(text_col).to_pylist()]
+            each = [find(t) for t in texts]
+            new = list(set().union(*each).difference(ids_of))
+            ids_of.update(zip(new, codes.look(new)))
             for w in new:
-                if known[w] is None and len(w) > LONG // 4 and len(w.encode()) > LONG:
-                    ids = merge.encode_single_token(w.encode()) if w.encode() in ranks else merge._encode_bytes(w.encode())
-                    ids = [ids] if isinstance(ids, int) else ids
-                    known[w] = (",".join(map(str, ids)), len(ids), merge.decode_bytes(ids).decode())
-            runs, plain, others, n_known = [], [], [], []
-            for words in each:
-                got = list(map(known.__getitem__, words))
-                cuts = [i for i, c in enumerate(got) if c is None] if None in got else []
-                a, r, p, n = 0, [], [], 0
-                for b in [*cuts, len(words)]:
-                    part = got[a:b]
-                    r.append(",".join([c[0] for c in part]))
-                    p.append("".join([c[2] for c in part]))
-                    n += sum([c[1] for c in part])
-                    a = b + 1
-                runs.append(r)
-                plain.append(p)
-                n_known.append(n)
-                others.append([words[i].encode().decode("latin-1") for i in cuts])
+                if len(w) > LONG // 4 and ids_of[w] == HOLE and len(w.encode()) > LONG and MARK not in w:
+                    merge = merge or long_merge(ranks)
+                    ids_of[w] = merge(w.encode())
+            known, plain, others, n_known = [], [], [], []
+            for t, words in zip(texts, each):
+                got = list(map(ids_of.__getitem__, words))
+                joined = ",".join(got)
+                known.append(joined)
+                n_known.append(joined.count(",") + bool(words))
+                if HOLE in joined:
+                    others.append([w.encode().decode("latin-1") for w, c in zip(words, got) if c == HOLE])
+                    n_known[-1] -= len(others[-1])
+                    plain.append("".join([MARK if c == HOLE else w for w, c in zip(words, got)]))
+                else:
+                    others.append([])
+                    plain.append(t)
             columns = [batch.column(c) for c in rest]
-            columns += [pa.array(x, k) for x, k in ((runs, pa.list_(pa.string())), (plain, pa.list_(pa.string())), (others, pa.list_(pa.string())), (n_known, pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*rest, "runs", "plain", "others", "n_known"])
+            columns += [pa.array(x, k) for x, k in ((known, pa.string()), (plain, pa.string()), (others, pa.list_(pa.string())), (n_known, pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*rest, "known", "plain", "others", "n_known"])
 
-    more = T._parse_datatype_string("runs array<string>, plain array<string>, others array<string>, n_known long").fields
+    more = T._parse_datatype_string("known string, plain string, others array<string>, n_known long").fields
     return df.select(*rest, text_col).mapInArrow(run, T.StructType([*df.select(*rest).schema.fields, *more]))
+
+
+def long_merge(ranks: dict[bytes, int]):
+    """The library's merge of one pre-token, for those that the fold would take too long for."""
+    import tiktoken
+
+    own = tiktoken.Encoding("own", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+    return lambda data: ",".join(map(str, [ranks[data]] if data in ranks else own._encode_bytes(data)))
