@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphflow import tables as t
 
@@ -79,7 +80,12 @@ def channel(right: str, typed: str) -> tuple[float, list[tuple[str, str]]] | Non
     return best.get(len(typed))
 
 
-CHANNEL_TYPE = "cost double, subs array<struct<letter:string,typed:string>>"
+CHANNEL_TYPE = T.StructType(
+    [
+        T.StructField("cost", T.DoubleType()),
+        T.StructField("subs", T.ArrayType(T.StructType([T.StructField("letter", T.StringType()), T.StructField("typed", T.StringType())]))),
+    ]
+)
 
 
 @F.pandas_udf(CHANNEL_TYPE)
@@ -107,13 +113,13 @@ def spelling_distance(a: str, b: str, vowels: str = "aeiouöüāēīōūȫǖ") -
     return row[-1] / (4 * max(len(a), len(b), 1))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def spelling_distance_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
         yield pd.Series([spelling_distance(x, y) if x is not None and y is not None else None for x, y in zip(a, b)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode NFC, which has no built-in function."""
     return text.str.normalize("NFC")
