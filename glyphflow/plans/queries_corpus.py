@@ -93,7 +93,7 @@ query("j07_ngram_score", f"WITH m AS ({LLR_SQL}), w AS (SELECT DISTINCT word FRO
 )
 
 
-@query("a20_threshold_sweep", SWEEP_SQL.replace("{0}", "threshold, round(avg((score > threshold)::INT) FILTER (lang = 'en'), 6) AS tpr, round(avg((score > threshold)::INT) FILTER (lang = 'fr'), 6) AS fpr FROM sc, (SELECT unnest([-1.03, 0.07, 1.01, 2.03]) AS threshold) GROUP BY threshold"))
+@query("a20_threshold_sweep", SWEEP_SQL.replace("{0}", "threshold, round(avg((score > threshold)::INT) FILTER (lang = 'en'), 6) AS tpr, round(avg((score > threshold)::INT) FILTER (lang = 'fr'), 6) AS fpr FROM sc, (SELECT unnest([-1.03::DOUBLE, 0.07, 1.01, 2.03]) AS threshold) GROUP BY threshold"))
 def a20(spark, d):
     words = by_lang(spark, d).where("lang IN ('en', 'fr')")
     scores = language.ngram_scores(words, lexicon.llr_model(words, "lang", "en", "fr").select("g", F.col("llr").alias("weight")))

@@ -1,5 +1,7 @@
 """Shapes of plans, files in and out, and every query against its SQL."""
 
+import decimal
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -26,7 +28,7 @@ def shown(rows):
     def one(x):
         if x is None or x != x:
             return "-"
-        return f"{x:.4f}" if isinstance(x, float) else str(x)
+        return f"{float(x):.4f}" if isinstance(x, float | decimal.Decimal) else str(x)
 
     return sorted(tuple(map(one, r)) for r in rows)
 
