@@ -35,12 +35,12 @@ from glyphflow.llm.common import chunks, materialise
 BUCKETS = 8192
 FREQUENT = 1 << 21
 LONG = 128
-GATHER = 500_000
-CACHE = 250_000
+GATHER = 400_000
+CACHE = 150_000
 #: What stands between pieces, a letter that no byte is written as.
 GAP = "\u0100"
 #: Bytes of text that a worker holds in pieces at once.
-PIECE = 8 << 20
+PIECE = 4 << 20
 #: Stands for the ids, and for the text, of a pre-token that is still to be folded; a pre-token that holds MARK itself is always folded.
 HOLE, MARK = "_", "\ufdd0"
 
@@ -135,9 +135,9 @@ def letters(word: Column) -> Column:
 
 
 def splitter(pattern: str):
-    """Function from a text to its pre-tokens. White space is that of Unicode, as the library reads it; ASCII texts go by the same pattern over ASCII classes."""
+    """Function from a text to its pre-tokens. White space is that of Unicode, as the library reads it; texts of Latin-1 letters go by the same pattern over the classes' members."""
     inside = {r"\s": r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"}
-    plain = {r"\s": r"\t-\r ", r"\p{L}": "A-Za-z", r"\p{N}": "0-9"}
+    plain = {r"\s": r"\t-\r \x85\xa0", r"\p{L}": r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"\p{N}": r"0-9\xb2\xb3\xb9\xbc-\xbe"}
 
     def spelled(classes: dict[str, str]) -> str:
         def one(m: re.Match) -> str:
@@ -150,7 +150,15 @@ def splitter(pattern: str):
         return re.sub(r"\[[^\]]*\]|\\(?:s|S|p\{\w+\})", one, pattern)
 
     short, full = re.compile(spelled(plain)).findall, regex.compile(spelled(inside)).findall
-    return lambda text: short(text) if text.isascii() else full(text)
+
+    def find(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return full(text)
+        return short(text)
+
+    return find
 
 
 def _counted(df: DataFrame, pattern: str) -> DataFrame:
@@ -162,7 +170,7 @@ def _counted(df: DataFrame, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, words = splitter(pattern), Counter()
-        for batch in chunks(batches):
+        for batch in chunks(batches, "text", PIECE):
             for t in batch.column("text").to_pylist():
                 if t:
                     words.update(find(t))

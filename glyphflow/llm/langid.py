@@ -81,7 +81,7 @@ def _counted(df: DataFrame) -> DataFrame:
         for k, slot, ctx, suf, n in gram_counts(words):
             size = len(slot)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * size), pa.array(np.full(size, k, dtype=np.int32)), pa.array(slot), pa.array(ctx), pa.array(suf), pa.array(n)],
+                [pa.array([lang] * size, pa.string()), pa.array(np.full(size, k, dtype=np.int32)), pa.array(slot), pa.array(ctx), pa.array(suf), pa.array(n)],
                 names=["lang", "k", "slot", "ctx", "suf", "n"],
             )
 

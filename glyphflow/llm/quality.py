@@ -107,4 +107,6 @@ def ablations(book: DataFrame, policy: str) -> DataFrame:
 def keep(df: DataFrame, policy: str = "v2", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, with its own columns only, that pass the policy."""
     safe = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(text_col).alias("_text"))
-    return ledger(safe, "_text").where(passes(policy)).select("_row.*")
+    # a filter is pushed below deterministic projections with all they compute, inside lambdas too; the row number keeps it above
+    book = ledger(safe, "_text").withColumn("_at", F.monotonically_increasing_id())
+    return book.where(passes(policy) & (F.col("_at") >= 0)).select("_row.*")

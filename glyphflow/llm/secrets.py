@@ -35,7 +35,8 @@ DIGESTS = frozenset((32, 40, 56, 64, 96, 128))
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 HEXADECIMAL = re.compile(r"[0-9a-fA-F]+")
 #: Words and numbers joined by single signs, as in dates, file names and variables.
-IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[_/=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*")
+PART = r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+(?:[TZ][0-9]*)?)"
+IDENTIFIER = re.compile(f"{PART}(?:[_/=+-]+{PART})*")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:

@@ -30,6 +30,8 @@ from glyphflow.llm.components import components
 SHINGLE, SEED, RADIUS, SEGMENTS = 3, 42, 3, 4
 #: Members of a join key that are compared pair by pair; larger keys go by ``dense``.
 BUCKET = 64
+#: Bytes of text that a worker holds in pieces at once.
+HELD = 4 << 20
 #: Shingles whose bits are counted at once.
 PIECE = 1 << 16
 
@@ -55,7 +57,7 @@ def fingerprints(df: DataFrame, text_col: str = "text") -> DataFrame:
     rest = [c for c in df.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, text_col):
+        for batch in chunks(batches, text_col, HELD):
             fp = np.array([fingerprint(t) for t in batch.column(text_col).to_pylist()], dtype=np.uint64).view(np.int64)
             columns = [batch.column(c) for c in rest]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(fp)], names=[*rest, "fp"])
@@ -129,13 +131,8 @@ def hexed(fp: str = "fp"):
 
 def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group, the one with the least id (of equal ids any one), with the columns of ``df``."""
-    rows = materialise(
-        df.select(
-            F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"),
-            F.monotonically_increasing_id().alias("_rid"),
-        ),
-        "simhash-docs",
-    )
-    grouped = groups(rows, "_id", "_text")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    rows = materialise(df.select(row, F.monotonically_increasing_id().alias("_rid")), "simhash-docs")
+    grouped = groups(rows.select(F.col(f"_row.`{id_col}`").alias("_id"), F.col(f"_row.`{text_col}`").alias("_text"), "_rid"), "_id", "_text")
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "_rid")).alias("m"))
     return rows.join(first.select(F.col("m._rid").alias("_rid")), "_rid", "left_semi").select("_row.*")
