@@ -153,3 +153,38 @@ def clear_script(word: str, rules: dict[str, dict[str, dict[str, int]]], rate: d
                 if found and (best[end] is None or best[start][0] + found[1] > best[end][0]):
                     best[end] = (best[start][0] + found[1], best[start][1] + found[0])
     return best[n][1] if best[n] else word
+
+
+def to_cyrillic(text: str, segmenter: Segmenter, model: Seq2Seq, most: int = 2, longest: int = 60) -> str:
+    """Transliteration to Cyrillic, line by line: gaps that part groups, windows of at most ``most`` groups, the model on each, tidied punctuation."""
+    import re
+
+    def line(x: str) -> str:
+        x = re.sub(r"[\s\u202f-]+", " ", unicodedata.normalize("NFC", x).lower()).strip()
+        groups = [" ".join(g) for g in segmenter.groups(x)]
+        out: list[list[str]] = []
+        for g in groups:
+            if out and len(out[-1]) < most and len(" ".join([*out[-1], g])) <= longest:
+                out[-1].append(g)
+            else:
+                out.append([g])
+        said = re.sub(r"\s+([,.!?])", r"\1", " ".join(model.decode(" ".join(w)) for w in out))
+        return re.sub(r"(^|[.!?]\s*)(\w)", lambda m: m[1] + m[2].upper(), said)
+
+    return "\n".join(map(line, text.split("\n")))
+
+
+def clear_script_text(df: DataFrame, column: str, out: str, rules: dict, rate: dict[str, float], marks: dict[str, str]) -> DataFrame:
+    """A column in the alternative script's record: words by ``clear_script``, each distinct one once per worker; marks mapped, other signs dropped."""
+    import re
+    from functools import lru_cache
+
+    shared = df.sparkSession.sparkContext.broadcast((rules, rate))
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        word = lru_cache(100_000)(lambda w: clear_script(w, *shared.value))
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else "".join(word(w) if w else marks.get(m, "") for w, m in re.findall(r"([^\W\d_]+)|(.)", t.lower(), re.S)))
+
+    return df.withColumn(out, run(F.col(column)))

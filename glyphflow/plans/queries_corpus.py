@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from glyphflow import tables as t
 from glyphflow.functions import letters, tokens
-from glyphflow.operators import fixer, language, lexicon, lm, models, reader
+from glyphflow.operators import convert, fixer, language, lexicon, lm, models, reader
 from glyphflow.plans import sql as s
 from glyphflow.plans.catalog import FREQ_LANG_SQL, FREQ_SQL, WORDS_SQL, local, query, read
 
@@ -291,7 +291,7 @@ def a18(spark, d):
 @query("m06_broken_words")
 def m06(spark, d):
     freqs = local(spark, [("ged", 5), ("gedeq", 2881), ("ü", 4), ("dü", 9057), ("örgöǰi", 173), ("kü", 2), ("örgöǰikü", 2), ("erdeni", 183)], "word string, freq long")
-    rows = local(spark, [("örgöǰi kü ged eq",), ("erdeni dü ged eq",), ("baqta :qsan",)], "text string")
+    rows = local(spark, [("örgöǰi\u202fkü ged\u202feq",), ("erdeni\u202fdü ged eq",), ("baqta\u202f:qsan",)], "text string")
     return lm.join_broken_words(rows, "text", freqs)
 
 
@@ -305,3 +305,29 @@ def j09(spark, d):
 def m02(spark, d):
     dictionary = local(spark, [("хальмг", "xalimaq"), ("улс", "ulus"), ("эк", "eke"), ("эцк", "ecege")], "word string, translit string")
     return models.transliterate(local(spark, [("хальмг",), ("улс",), ("эк-эцк",), ("нутг",), ("эк",)], "word string"), dictionary, None)
+
+
+PAIRS = [("of", "OF"), ("of the", "OF-THE"), ("in", "IN"), ("and", "AND"), ("and", "ALSO")]
+
+
+@query("j08_pair_lookup", f"SELECT doc_id, count(*) AS n, count(*) FILTER (word = 'and') AS several FROM ({WORDS_SQL}) WHERE word IN ('of', 'in', 'and') GROUP BY doc_id")
+def j08(spark, d):
+    toks = lexicon.occurrences(docs(spark, d), keep=("doc_id",))
+    found = convert.look_up(toks, local(spark, PAIRS, "source string, target string"))
+    return toks.join(found, "word").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("targets") > 1).alias("several"))
+
+
+@query("m05_convert")
+def m05(spark, d):
+    return convert.convert(docs(spark, d), local(spark, PAIRS, "source string, target string"), id_col="doc_id")
+
+
+@query("t28_fit_charset", r"SELECT doc_id, regexp_replace(regexp_replace(replace(text, 'é', 'e'), '[^a-z ]', ' ', 'g'), ' {2,}', ' ', 'g') AS text FROM documents")
+def t28(spark, d):
+    return docs(spark, d).select("doc_id", convert.fit_charset(F.col("text"), "abcdefghijklmnopqrstuvwxyz ", {"é": "e"}).alias("text"))
+
+
+@query("a31_wrap")
+def a31(spark, d):
+    words = F.slice(tokens.words(F.lower("text"), r"\p{L}+"), 1, 60)
+    return docs(spark, d).select("doc_id", F.posexplode(convert.wrap(words, 40, {"m": 2, "w": 2, "i": 1}, 1)).alias("line", "text"))

@@ -83,7 +83,7 @@ def write_lexicon(freq: DataFrame, path: str) -> None:
 def write_export(df: DataFrame, path: str) -> None:
     """CSV with a header line, even if empty, that begins with a byte-order mark."""
     first = df.columns[0]
-    marked = df.withColumnRenamed(first, "﻿" + first)
+    marked = df.withColumnRenamed(first, "\ufeff" + first)
     marked.coalesce(1).write.mode("overwrite").csv(path, header=True, emptyValue="")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from glyphflow import tables as t
 from glyphflow.functions import letters, scripts, tokens
-from glyphflow.operators import fixer, language, lm, models, page, reader, store
+from glyphflow.operators import convert, fixer, language, lm, models, page, reader, store
 from glyphflow.plans.pipeline import inline_results, process
 from glyphflow.plans.queries_corpus import LEXICON
 
@@ -220,3 +220,27 @@ def test_pipeline(spark):
     assert got[6].translit.startswith("privet")
     inline = [(r.kind, r.text) for r in inline_results(df.where("id IN (1, 3, 5)"), "id").orderBy("id").collect()]
     assert inline == [("todo", "ᡋᡆᠯᡍᡇ"), ("translit", "bolxu")]
+
+
+def test_convert(spark):
+    pairs = spark.createDataFrame([("a", "1"), ("a b", "12"), ("b", "2"), ("c", "x"), ("c", "yy"), ("d\u180b", "4"), ("d", "5")], "source string, target string")
+    texts = [(1, "a b a, b!"), (2, "zz"), (3, ""), (4, "c d\u180b d"), (5, "a  b"), (6, "a\u200d")]
+    df = spark.createDataFrame(texts, "id long, text string")
+    got = {r.id: (r.text, r.n_found) for r in convert.convert(df, pairs).collect()}
+    assert got == {1: ("12 1, 2!", 3), 2: ("zz", 0), 3: ("", 0), 4: ("x 4 5", 3), 5: ("1  2", 2), 6: ("1", 1)}
+    said = spark.createDataFrame([("c", "yyy")], "word string, prediction string")
+    assert {r.id: r.text for r in convert.convert(df, pairs, said).collect()}[4] == "yy 4 5"
+
+
+def test_fit_and_wrap(spark):
+    df = spark.createDataFrame([("aé#b##c\u200d",)], "x string")
+    assert df.select(convert.fit_charset(F.col("x"), "abc", {"é": "e"}).alias("y")).first().y == "a b c\u200d"
+    words = spark.createDataFrame([(["aa", "bb", "cccccc", "d"],)], "w array<string>")
+    assert words.select(convert.wrap(F.col("w"), 5, {"b": 1}, 1).alias("o")).first().o == ["aa bb", "cccccc", "d"]
+    assert words.select(convert.wrap(F.col("w"), 5, {"b": 2}, 1).alias("o")).first().o == ["aa", "bb", "cccccc", "d"]
+
+
+def test_clear_script_text(spark):
+    df = spark.createDataFrame([("Ab, b#",), (None,)], "x string")
+    got = models.clear_script_text(df, "x", "y", {"uni": {"a": {"A": 1}, "b": {"B": 1}}}, {}, {",": ";", " ": " "})
+    assert [r.y for r in got.collect()] == ["AB; B", None]
