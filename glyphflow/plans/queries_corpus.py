@@ -36,7 +36,7 @@ query("a03_word_freq", FREQ_LANG_SQL)(by_lang)
 query("a04_piece_freq", r"SELECT word, count(*) AS freq FROM (SELECT unnest(string_split_regex(lower(text), '[- ]+')) AS word FROM documents WHERE regexp_matches(text, '^\p{L}')) WHERE word <> '' GROUP BY word")(
     lambda spark, d: docs(spark, d).where(F.col("text").rlike(r"^\p{L}")).select(F.explode(F.split(F.lower("text"), "[- ]+")).alias("word")).where("word != ''").groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
 )
-query("a14_top_words", f"SELECT lang, word, freq, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY freq DESC, word) AS rank FROM ({FREQ_LANG_SQL})) WHERE rank <= 20")(lambda spark, d: lexicon.top(by_lang(spark, d), 20, ("lang",)))
+query("a14_top_words", f"SELECT lang, word, freq, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY freq DESC, word) AS rank FROM ({FREQ_LANG_SQL})) WHERE rank <= 20")(lambda spark, d: lexicon.top(by_lang(spark, d), 20, ("lang",)))
 query("io11_ordered_lexicon", f"SELECT word, freq FROM ({FREQ_SQL}) ORDER BY freq DESC, word")(lambda spark, d: freq(spark, d).orderBy(F.desc("freq"), "word"))
 query("a05_letter_dist", f"SELECT letter, sum(freq)::BIGINT AS n FROM (SELECT unnest(string_split(word, '')) AS letter, freq FROM ({FREQ_SQL})) GROUP BY letter")(lambda spark, d: lexicon.letter_distribution(freq(spark, d)))
 query(
