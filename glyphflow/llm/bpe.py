@@ -41,6 +41,8 @@ CACHE = 150_000
 GAP = "\u0100"
 #: Bytes of text that a worker holds in pieces at once.
 PIECE = 4 << 20
+#: Characters of a plan's text that the driver keeps.
+UNLIMITED, PRINTED = "2147483", 1 << 16
 #: Stands for the ids, and for the text, of a pre-token that is still to be folded; a pre-token that holds MARK itself is always folded.
 HOLE, MARK = "_", "\ufdd0"
 
@@ -220,6 +222,8 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text",
     spark = df.sparkSession
     ranks = read_ranks(vocabulary)
     codec = Codec(ranks)
+    if spark.conf.get("spark.sql.maxPlanStringLength").startswith(UNLIMITED):
+        spark.conf.set("spark.sql.maxPlanStringLength", PRINTED)  # the driver keeps every plan as text, and this one holds the literal tables
     words = materialise(_counted(df.select(F.col(text_col).alias("text")), pattern).groupBy("word").agg(F.sum("n").alias("n")), "bpe-words")
     least = threshold(words, frequent)
     often = words.where((F.col("n") >= (least or 0)) & (F.octet_length("word") <= LONG)).select("word", letters(F.col("word")).alias("b"))
