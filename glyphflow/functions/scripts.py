@@ -157,12 +157,16 @@ def frame(col: Column) -> Column:
 
 def punctuation(col: Column, mode: str) -> Column:
     """off, frame or all."""
-    if mode == "all":
-        trimmed = by_line(col, lambda line: F.regexp_replace(line, "^ +| +$", ""))
-        out = F.replace(frame(F.replace(trimmed, F.lit(t.SOURCE_COMMA), F.lit(t.COMMA))), F.lit(t.SOURCE_STOP), F.lit(t.FULL_STOP))
-    else:
-        out = frame(strip_marks(col)) if mode == "frame" else strip_marks(col)
-    return F.when(col == "", col).otherwise(out)
+
+    def marked(text: Column) -> Column:
+        if mode == "all":
+            trimmed = by_line(text, lambda line: F.regexp_replace(line, "^ +| +$", ""))
+            out = F.replace(frame(F.replace(trimmed, F.lit(t.SOURCE_COMMA), F.lit(t.COMMA))), F.lit(t.SOURCE_STOP), F.lit(t.FULL_STOP))
+        else:
+            out = frame(strip_marks(text)) if mode == "frame" else strip_marks(text)
+        return F.when(text == "", text).otherwise(out)
+
+    return let(col, marked)
 
 
 def russian_to_translit(col: Column) -> Column:
