@@ -1,8 +1,8 @@
 """Secret scans by token efficiency.
 
-Three exact patterns give the base spans, which always stay. The method adds strings that a byte-level vocabulary encodes badly: runs of key characters with digits and letters
-whose characters per token fall below ``RATIO`` (prose has about four, random strings about two), unless they are known digests by their length, identifiers such as UUIDs,
-addresses or numbers, or already part of a base span.
+Three exact patterns give the base spans, which always stay. The method adds strings that a byte-level vocabulary encodes badly: in runs of key characters, what no base span
+covers, tested as a whole, by segments between signs, and by every stretch of tokens just ``LEAST`` long or longer. Those whose characters per token fall below ``RATIO`` (prose has
+about four, random strings about two) are found, unless they are known digests by their length, identifiers such as UUIDs, or numbers.
 
 Defined results: a null text counts as empty; equal rows get equal results; extra columns pass through; an empty table gives an empty table.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,16 +27,18 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 SIGN = re.compile(r"[:=]")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
-DIGIT = re.compile(r"[0-9]")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]*")
-KEYISH = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 LEAST, RATIO = 20, 2.2
+RUN = re.compile(f"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}")
+SEGMENT = re.compile(f"[A-Za-z0-9]{{{LEAST},}}")
+SIGNS = "=-_/+"
 #: Hexadecimal lengths of known digests: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGESTS = frozenset((32, 40, 56, 64, 96, 128))
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+UUIDS = re.compile(rf"(?<![0-9a-fA-F]){UUID.pattern}(?![0-9a-fA-F])")
 HEXADECIMAL = re.compile(r"[0-9a-fA-F]+")
 #: Words and numbers joined by single signs, as in dates, file names and variables.
 PART = r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+(?:[TZ][0-9]*)?)"
+NUMBER = re.compile(r"(?<![A-Za-z0-9])[0-9]+(?:[TZ][0-9]*)?(?![A-Za-z0-9])")
 IDENTIFIER = re.compile(f"{PART}(?:[_/=+-]+{PART})*")
 
 
@@ -50,24 +53,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def runs(text: str) -> Iterator[tuple[int, int]]:
-    """Runs of key characters that hold a digit and are long enough."""
-    m = DIGIT.search(text)
-    while m:
-        start = m.start()
-        while start and text[start - 1] in KEYISH:
-            start -= 1
-        end = RUN.match(text, m.start()).end()
-        if end - start >= LEAST:
-            yield start, end
-        m = DIGIT.search(text, end)
+def outside(a: int, b: int, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What spans, by start, leave of a stretch, where that is long enough."""
+    for x, y in [*spans, (b, b)]:
+        if x - a >= LEAST and x <= b:
+            yield a, x
+        a = max(a, y)
 
 
 def known(s: str) -> bool:
-    """Whether this is a digest, an identifier or a number, and so no secret by itself."""
+    """Whether this is a digest, an identifier or a number, and so no secret by itself. Letters alone are no identifier."""
     if HEXADECIMAL.fullmatch(s):
         return len(s) in DIGESTS or s.isdigit()
-    return bool(UUID.search(s) or IDENTIFIER.fullmatch(s))
+    return not s or bool(UUID.fullmatch(s) or IDENTIFIER.fullmatch(s) and not s.isalpha())
 
 
 class Scanner:
@@ -75,19 +73,60 @@ class Scanner:
         import tiktoken
 
         self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def ratio(self, s: str) -> float:
-        return len(s) / len(self.encode(s))
+        self.length = {rank: len(piece) for piece, rank in ranks.items()}
+
+    def random(self, s: str) -> bool:
+        return not known(s.strip(SIGNS)) and len(s) / len(self.encode(s)) < RATIO
+
+    def stretches(self, text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+        """For each token from which on there are LEAST characters, the fewest tokens that hold them, where that is random. A number or time between signs counts as one token."""
+        inside = {i for m in NUMBER.finditer(text, a, b) for i in range(m.start() + 1, m.end())}
+        ends = [a, *(i for i in accumulate((self.length[t] for t in self.encode(text[a:b])), initial=a) if i > a and i not in inside)]
+        j = 0
+        for i, start in enumerate(ends):
+            while j < len(ends) and ends[j] - start < LEAST:
+                j += 1
+            if j == len(ends):
+                return
+            if (ends[j] - start) / (j - i) < RATIO and not known(text[start : ends[j]].strip(SIGNS)):
+                yield start, ends[j]
+
+    def parts(self, text: str, a: int, b: int) -> list[tuple[int, int]]:
+        """Random parts of a stretch of key characters, each up to the next signs, so that no end of a key is left."""
+        if self.random(text[a:b]):
+            return [(a, b)]
+        if IDENTIFIER.fullmatch(text[a:b].strip(SIGNS)) and not SEGMENT.search(text, a, b):
+            return []
+        digests = [m.span() for m in HEXADECIMAL.finditer(text, a, b) if len(m[0]) in DIGESTS]
+        found = []
+        for x, y in outside(a, b, digests):
+            found += [m.span() for m in SEGMENT.finditer(text, x, y) if self.random(m[0])]
+            done = x
+            for i, j in self.stretches(text, x, y):
+                if j <= done:
+                    continue
+                while i > done and text[i - 1] not in SIGNS and text[i] not in SIGNS:
+                    i -= 1
+                while j < y and text[j] not in SIGNS and text[j - 1] not in SIGNS:
+                    j += 1
+                found.append((i, done := j))
+        out = []
+        for x, y in sorted(found):
+            if out and x <= out[-1][1]:
+                out[-1] = (out[-1][0], max(y, out[-1][1]))
+            else:
+                out.append((x, y))
+        return out
 
     def spans(self, text: str | None) -> list[tuple[str, int, int]]:
         if not text:
             return []
-        base = base_spans(text)
-        more = [
-            ("random", a, b)
-            for a, b in runs(text)
-            if not any(x < b and a < y for _, x, y in base) and not known(text[a:b].strip("=-_/+")) and self.ratio(text[a:b]) < RATIO
-        ]
+        base, more = base_spans(text), []
+        for m in RUN.finditer(text):
+            a, b = m.span()
+            for a, b in outside(a, b, [(x, y) for _, x, y in base if x < b and a < y]):
+                for a, b in outside(a, b, [u.span() for u in UUIDS.finditer(text, a, b)]):
+                    more += [("random", x, y) for x, y in self.parts(text, a, b)]
         return sorted(base + more, key=lambda x: (x[1], (*BASE, "random").index(x[0]))) if more else base
 
 

@@ -425,6 +425,25 @@ def test_secrets_by_token_efficiency(spark, odd, nothing):
     assert find(odd, redact="#").columns == [*odd.columns, "secret_spans"]
 
 
+def test_secrets_beside_other_parts():
+    scanner = secrets.Scanner(secrets.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    uuid, digest = "550e8400-e29b-41d4-a716-446655440000", "0123456789ABCDEF" * 4
+    for before in ("", "export/production/configuration/database/connection/", "productionconfiguration", f"{uuid}/", f"{digest}/", "0123456789abcdef0123/"):
+        for signs in (letters, letters[:26], letters + "0123456789"):
+            n = 0
+            for _ in range(100):
+                text = f"see {before}{''.join(rng.choice(signs) for _ in range(24))} here"
+                end = len(text) - 5
+                found = [(a, b) for k, a, b in scanner.spans(text) if k == "random"]
+                n += any(a <= end - 24 and b == end for a, b in found)
+                assert all(a >= 4 and b <= end for a, b in found) and (uuid not in before or not found or found[0][0] >= 3 + len(before)), text
+            assert n >= 90, (before, signs, n)
+    for text in (f"path/to/{uuid}", f"objects/{digest}", "-" * 300, "=_" * 40, "export/production/configuration/2024-01-02T10_11_12_2345/getUserAccountManagerFactory"):
+        assert scanner.spans(text) == [], text
+
+
 # --- 10: BPE
 @pytest.mark.parametrize("frequent", [1 << 21, 50, 0])
 def test_bpe_is_the_librarys(odd, nothing, frequent):
