@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glyphflow.functions.scripts import let
+from glyphflow.functions import greedy
 
 
 def interval_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, width: int, by: list[str] | None = None) -> DataFrame:
@@ -63,18 +63,6 @@ def rank_entries(found: DataFrame, context: DataFrame, k: int = 6) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "head"))).where(F.col("rank") <= k)
 
 
-def phrases(words: Column, lexicon: Column, width: int, depth: int = 0) -> Column:
+def phrases(words: Column, lexicon: Column, width: int) -> Column:
     """Greedy longest phrases of an array of words: spans of single-space-joined words in the lexicon, not longer than ``width``, else single words."""
-    if depth == 0:
-        return let(words, lambda w: phrases(w, lexicon, width, 1))
-    n = F.size(words)
-
-    def step(acc: Column, i: Column) -> Column:
-        ends = F.sequence(i, n - 1)
-        spans = F.transform(ends, lambda e: F.struct((e + 1).alias("next"), F.array_join(F.slice(words, i + 1, e - i + 1), " ").alias("phrase")))
-        fit = F.filter(spans, lambda s: (F.char_length(s["phrase"]) <= width) & F.array_contains(lexicon, s["phrase"]))
-        taken = F.when(F.size(fit) > 0, F.get(fit, F.size(fit) - 1)).otherwise(F.get(spans, F.lit(0)))
-        return F.when(i < acc["next"], acc).otherwise(F.struct(taken["next"].alias("next"), F.concat(acc["out"], F.array(taken["phrase"])).alias("out")))
-
-    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("out"))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda a: a["out"]))
+    return greedy.by_row(greedy.phrases(width), words, lexicon)

@@ -298,7 +298,7 @@ def m06(spark, d):
 @query("j09_phrases")
 def j09(spark, d):
     known = F.array(*map(F.lit, ("of the", "in the", "the", "and the of")))
-    return docs(spark, d).select("doc_id", F.array_join(reader.phrases(F.slice(tokens.words(F.lower("text"), r"\p{L}+"), 1, 40), known, 12), "|").alias("phrases"))
+    return docs(spark, d).select("doc_id", F.array_join(reader.phrases(tokens.words(F.lower("text"), r"\p{L}+"), known, 12), "|").alias("phrases"))
 
 
 @query("m02_transliterate", "SELECT word, CASE word WHEN 'хальмг' THEN 'xalimaq' WHEN 'улс' THEN 'ulus' WHEN 'эк' THEN 'eke' WHEN 'эк-эцк' THEN 'eke ecege' ELSE word END AS translit, CASE WHEN word IN ('хальмг', 'улс', 'эк') THEN 'dict' WHEN word = 'эк-эцк' THEN 'split' ELSE 'model' END AS source FROM " + s.values([("хальмг",), ("улс",), ("эк-эцк",), ("нутг",), ("эк",)], "word"))
@@ -329,5 +329,5 @@ def t28(spark, d):
 
 @query("a31_wrap")
 def a31(spark, d):
-    words = F.slice(tokens.words(F.lower("text"), r"\p{L}+"), 1, 60)
+    words = tokens.words(F.lower("text"), r"\p{L}+")
     return docs(spark, d).select("doc_id", F.posexplode(convert.wrap(words, 40, {"m": 2, "w": 2, "i": 1}, 1)).alias("line", "text"))

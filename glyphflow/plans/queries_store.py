@@ -132,4 +132,4 @@ query("g14_tight_gaps", "SELECT user_id, first, last, NOT bool_or(value < 5) AS
     )
 )
 query("a29_packing")(lambda spark, d: read(spark, d, "documents").select("doc_id", F.posexplode(page.pack(F.split("text", "\n"), 400)).alias("part", "text")))
-query("a30_windows")(lambda spark, d: read(spark, d, "documents").select("doc_id", F.posexplode(page.windows(F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+|[.,!?]"), F.lit(0)), 1, 60))).alias("part", "text")))
+query("a30_windows")(lambda spark, d: read(spark, d, "documents").select("doc_id", F.posexplode(page.windows(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+|[.,!?]"), F.lit(0)))).alias("part", "text")))

@@ -106,3 +106,17 @@ def test_image_headers(spark, tmp_path):
     (tmp_path / "x.txt").write_text("no")
     row = files.images(spark, str(tmp_path)).collect()
     assert [(r.kind, r.width, r.height, r.too_large) for r in row] == [("png", 9000, 8000, True)]
+
+
+def test_whole_texts_are_folded(spark, tmp_path):
+    """Phrases, lines and windows behind the 60th word."""
+    text = "and the of " * 5000 + "last, in the end."
+    spark.createDataFrame([(1, text, "en", "a"), (2, None, "en", "a"), (3, "", "en", "a")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = catalog.QUERIES["j09_phrases"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.phrases for r in rows}[1].split("|") == ["and the of"] * 5000 + ["last", "in the", "end"]
+    for name in ("a31_wrap", "a30_windows"):
+        parts = {}
+        for r in catalog.QUERIES[name](spark, str(tmp_path)).collect():
+            parts.setdefault(r.doc_id, []).append(r.text)
+        words = "and the of " * 5000 + ("last in the end" if name == "a31_wrap" else "last, in the end.")
+        assert set(parts) == {1} and " ".join(parts[1]) == words, name
