@@ -244,3 +244,15 @@ def test_clear_script_text(spark):
     df = spark.createDataFrame([("Ab, b#",), (None,)], "x string")
     got = models.clear_script_text(df, "x", "y", {"uni": {"a": {"A": 1}, "b": {"B": 1}}}, {}, {",": ";", " ": " "})
     assert [r.y for r in got.collect()] == ["AB; B", None]
+
+
+def test_broken_words_beyond_the_limit(spark):
+    """A frequency table too large for a broadcast gives what the whole table gives, rare words and chains of three included."""
+    freq = {"x": 99, "y": 98, "ged": 5, "gedeq": 7, "kü": 1, "örgöǰikü": 2, "ab": 2, "abc": 3, "baq:": 1}
+    texts = ["ged eq, x örgöǰi kü.", "a b c", "(ged eq) baq :ta y", None, "", "a b c x", "ged eq ged eq"]
+    words = spark.createDataFrame(list(freq.items()), "word string, freq long")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts)], "id long, text string")
+    for limit in (1, 1_000_000):
+        got = {r.id: r.joined for r in lm.join_broken_words(df, "text", words, limit).collect()}
+        assert got == {i: None if t is None else lm.join_broken(t, freq) for i, t in enumerate(texts + texts)}, limit
+    assert lm.join_broken(texts[0], freq) == "gedeq, x örgöǰikü."
