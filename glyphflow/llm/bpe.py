@@ -2,15 +2,16 @@
 
 A pre-token's bytes become an array of one-byte pieces (bytes written as the letters U+0000 to U+00FF); ``aggregate`` folds the merges over it, each step joining the
 leftmost adjacent pair of lowest rank. Ranks come from a literal: an array of small maps, indexed by a hash of the piece, which the optimizer folds to a constant.
-Decoding looks each id up in a literal array of pieces and concatenates.
+Decoding looks up each id of a document's final list in a literal array of pieces and concatenates their bytes; it sees nothing but the ids.
 
-The fold runs once for each of the at most ``FREQUENT`` most frequent distinct pre-tokens of the corpus (counted over all texts, a threshold on counts
-found from a histogram of fixed size); their codes are broadcast in sorted hash arrays, checked byte by byte. The other pre-tokens are folded
-where they stand, in the same stage, so no token and no text is ever shuffled. Workers only split texts and look words up.
+The fold runs once for each of the most frequent distinct pre-tokens of the corpus, as many as ``TABLE_BYTES`` hold (counted over all texts, a threshold on
+counts found from a histogram of fixed size); their codes are broadcast in sorted hash arrays, a hit being a 64-bit hash and a checksum of 32 bits. The other pre-tokens
+are folded where they stand, in the same stage, so no token and no text is ever shuffled. Workers only split texts and look words up.
 
 A pre-token of more than ``LONG`` bytes would take the fold quadratic time; it is encoded by the library's own merge instead.
 
-Defined results: a null text counts as empty (no ids); equal rows get equal codes; extra columns pass through; an empty table gives an empty table.
+Defined results: a null text counts as empty (no ids); a text of any length is one row's work, never cut; equal rows get equal codes, and of equally frequent
+pre-tokens all or none are frequent; extra columns pass through, one named like a result is replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,10 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphflow.llm.common import chunks, materialise
+from glyphflow.llm.common import chunks, materialise, own, packed
 
 BUCKETS = 8192
-FREQUENT = 1 << 21
+#: Bytes that the table of frequent pre-tokens may take.
+TABLE_BYTES = 96 << 20
 LONG = 128
 GATHER = 400_000
 CACHE = 150_000
@@ -43,8 +45,8 @@ GAP = "\u0100"
 PIECE = 4 << 20
 #: Characters of a plan's text that the driver keeps.
 UNLIMITED, PRINTED = "2147483", 1 << 16
-#: Stands for the ids, and for the text, of a pre-token that is still to be folded; a pre-token that holds MARK itself is always folded.
-HOLE, MARK = "_", "\ufdd0"
+#: Stands for the ids of a pre-token that is still to be folded.
+HOLE = "_"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -114,17 +116,18 @@ class Codec:
         )
         return _let(self.rank(tables, letters), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(merged))
 
-    def unfold(self, tables: Column, ids: Column) -> Column:
-        """The bytes of these ids as text."""
-        return F.decode(F.encode(F.array_join(F.transform(ids, lambda i: F.get(tables["pieces"], i)), ""), "ISO-8859-1"), "UTF-8")
+    def unfold(self, ids: Column) -> Column:
+        """The bytes that these decimal ids, joined by commas, stand for."""
+        pieces = lambda t: F.transform(F.split(ids, ","), lambda i: F.get(t["pieces"], i.try_cast("int")))
+        return F.encode(F.array_join(self.using(pieces), ""), "ISO-8859-1")
 
     def code(self, letters: Column) -> Column:
-        """(ids, text they decode to) of one pre-token."""
-        return self.using(lambda t: _let(self.fold(t, letters), lambda ids: F.struct(ids.alias("ids"), self.unfold(t, ids).alias("text"))))
+        """Ids of one pre-token."""
+        return self.using(lambda t: self.fold(t, letters))
 
     def codes(self, words: Column) -> Column:
-        """The same for each of an array."""
-        each = lambda t: F.transform(words, lambda w: _let(self.fold(t, w), lambda ids: F.struct(F.array_join(ids, ",").alias("ids"), F.size(ids).alias("n"), self.unfold(t, ids).alias("text"))))
+        """(ids joined by commas, their number) of each of an array."""
+        each = lambda t: F.transform(words, lambda w: _let(self.fold(t, w), lambda ids: F.struct(F.array_join(ids, ",").alias("ids"), F.size(ids).alias("n"))))
         return self.using(each)
 
 
@@ -201,50 +204,46 @@ class Codes:
         hit = np.flatnonzero((self.hashes[at] == h) & (self.sums[at] == np.array([zlib.crc32(d) for d in data], dtype=np.uint32)))
         out = [HOLE] * len(words)
         for i, ids in zip(hit.tolist(), self.ids.take(pa.array(at[hit])).to_pylist()):
-            if MARK not in words[i]:
-                out[i] = ids
+            out[i] = ids
         return out
 
 
-def threshold(words: DataFrame, most: int) -> int | None:
-    """The least count from which at most ``most`` words have it, by a histogram of at most 256 + 64 rows."""
+def threshold(words: DataFrame, room: int) -> int | None:
+    """The least count from which on all words' entries fit in ``room`` bytes, by a histogram of at most 256 + 64 rows.
+
+    An entry takes at most 16 bytes and, if each byte is an id of five digits and a comma, six a byte."""
     step = F.when(F.col("n") < 256, F.col("n")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("n"))).cast("long"))
     taken, least = 0, None
-    for r in sorted(words.groupBy(step.alias("least")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True):
-        if taken + r["k"] > most:
+    for r in sorted(words.groupBy(step.alias("least")).agg(F.sum(16 + 6 * F.octet_length("word").cast("long")).alias("size")).collect(), reverse=True):
+        if taken + r["size"] > room:
             break
-        taken, least = taken + r["k"], r["least"]
+        taken, least = taken + r["size"], r["least"]
     return least
 
 
-def encode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """``df`` without its text, with ids_text (decimal ids joined by commas), n_tokens and decoded."""
+def encode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", room: int = TABLE_BYTES) -> DataFrame:
+    """``df`` without its text, with ids_text (decimal ids joined by commas), n_tokens and decoded (the bytes that the ids stand for)."""
     spark = df.sparkSession
     ranks = read_ranks(vocabulary)
     codec = Codec(ranks)
     if spark.conf.get("spark.sql.maxPlanStringLength").startswith(UNLIMITED):
         spark.conf.set("spark.sql.maxPlanStringLength", PRINTED)  # the driver keeps every plan as text, and this one holds the literal tables
-    words = materialise(_counted(df.select(F.col(text_col).alias("text")), pattern).groupBy("word").agg(F.sum("n").alias("n")), "bpe-words")
-    least = threshold(words, frequent)
-    often = words.where((F.col("n") >= (least or 0)) & (F.octet_length("word") <= LONG)).select("word", letters(F.col("word")).alias("b"))
+    rows, names = packed(df, text_col, ("ids_text", "n_tokens", "decoded"))
+    words = materialise(_counted(rows.select(F.col("_text").alias("text")), pattern).groupBy("word").agg(F.sum("n").alias("n")), "bpe-words")
+    words = words.where(F.octet_length("word") <= LONG)
+    least = threshold(words, room)
+    often = words.where(F.col("n") >= (least or 0)).select("word", letters(F.col("word")).alias("b"))
     if least is None:
         often = often.limit(0)
-    coded = often.select("word", codec.code(F.col("b")).alias("c"))
-    found = materialise(  # the filter comes after, else it is pushed down with a fold of its own
-        coded.select(
-            F.xxhash64("word").alias("h"), F.crc32(F.col("word").cast("binary")).alias("crc"), F.array_join("c.ids", ",").alias("ids"), (F.col("c.text") == F.col("word")).alias("whole")
-        ),
+    found = materialise(
+        often.select(F.xxhash64("word").alias("h"), F.crc32(F.col("word").cast("binary")).alias("crc"), F.array_join(codec.code(F.col("b")), ",").alias("ids")),
         "bpe-codes",
     )
-    shared = spark.sparkContext.broadcast((vars(Codes(found.where("whole").orderBy("h").select("h", "crc", "ids").toArrow())), ranks))  # at most ``frequent`` codes of LONG bytes
-    rest = [c for c in df.columns if c != text_col]
-    split = _split(df, text_col, rest, shared, pattern)
-    coded = split.select(*rest, "known", "plain", "n_known", F.when(F.size("others") > 0, codec.codes(F.col("others"))).alias("codes"))
-    whole = F.col("codes").isNull()
-    ids = F.when(whole, F.col("known")).otherwise(_mix("known", HOLE, F.col("codes.ids")))
-    decoded = F.when(whole, F.col("plain")).otherwise(_mix("plain", MARK, F.col("codes.text")))
+    shared = spark.sparkContext.broadcast((vars(Codes(found.orderBy("h").toArrow())), ranks))  # at most ``room`` bytes and the vocabulary
+    coded = _split(rows, shared, pattern).select("_row", "known", "n_known", F.when(F.size("others") > 0, codec.codes(F.col("others"))).alias("codes"))
     n = F.col("n_known") + F.coalesce(F.aggregate("codes.n", F.lit(0).cast("long"), lambda total, k: total + k), F.lit(0))
-    return coded.select(*rest, ids.alias("ids_text"), n.alias("n_tokens"), decoded.alias("decoded"))
+    whole = coded.select("_row", F.when(F.col("codes").isNull(), F.col("known")).otherwise(_mix("known", HOLE, F.col("codes.ids"))).alias("ids_text"), n.alias("n_tokens"))
+    return whole.select(*own(names, text_col, text=False), "ids_text", "n_tokens", codec.unfold(F.col("ids_text")).alias("decoded"))
 
 
 def _mix(runs: str, mark: str, between: Column) -> Column:
@@ -253,8 +252,8 @@ def _mix(runs: str, mark: str, between: Column) -> Column:
     return F.array_join(F.flatten(F.zip_with(F.split(runs, mark, -1), F.concat(between, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
 
 
-def _split(df: DataFrame, text_col: str, rest: list[str], shared, pattern: str) -> DataFrame:
-    """Known codes as text and the texts they stand for, with a sign for each pre-token that is still to be folded; and these, as letters."""
+def _split(rows: DataFrame, shared, pattern: str) -> DataFrame:
+    """Known codes as text, with a sign for each pre-token that is still to be folded; and these, as letters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, ranks = shared.value
@@ -262,36 +261,28 @@ def _split(df: DataFrame, text_col: str, rest: list[str], shared, pattern: str)
         codes.__dict__ = table
         find, merge = splitter(pattern), None
         ids_of: dict[str, str] = {}
-        for batch in chunks(batches, text_col, PIECE):
+        for batch in chunks(batches, "_text", PIECE):
             if len(ids_of) > CACHE:
                 ids_of = {}
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            each = [find(t) for t in texts]
+            each = [find(t) if t else [] for t in batch.column("_text").to_pylist()]
             new = list(set().union(*each).difference(ids_of))
             ids_of.update(zip(new, codes.look(new)))
             for w in new:
-                if len(w) > LONG // 4 and ids_of[w] == HOLE and len(w.encode()) > LONG and MARK not in w:
+                if len(w) > LONG // 4 and ids_of[w] == HOLE and len(w.encode()) > LONG:
                     merge = merge or long_merge(ranks)
                     ids_of[w] = merge(w.encode())
-            known, plain, others, n_known = [], [], [], []
-            for t, words in zip(texts, each):
+            known, others, n_known = [], [], []
+            for words in each:
                 got = list(map(ids_of.__getitem__, words))
                 joined = ",".join(got)
                 known.append(joined)
-                n_known.append(joined.count(",") + bool(words))
-                if HOLE in joined:
-                    others.append([w.encode().decode("latin-1") for w, c in zip(words, got) if c == HOLE])
-                    n_known[-1] -= len(others[-1])
-                    plain.append("".join([MARK if c == HOLE else w for w, c in zip(words, got)]))
-                else:
-                    others.append([])
-                    plain.append(t)
-            columns = [batch.column(c) for c in rest]
-            columns += [pa.array(x, k) for x, k in ((known, pa.string()), (plain, pa.string()), (others, pa.list_(pa.string())), (n_known, pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*rest, "known", "plain", "others", "n_known"])
-
-    more = T._parse_datatype_string("known string, plain string, others array<string>, n_known long").fields
-    return df.select(*rest, text_col).mapInArrow(run, T.StructType([*df.select(*rest).schema.fields, *more]))
+                others.append([w.encode().decode("latin-1") for w, c in zip(words, got) if c == HOLE] if HOLE in joined else [])
+                n_known.append(joined.count(",") + bool(words) - len(others[-1]))
+            columns = [batch.column("_row"), *(pa.array(x, k) for x, k in ((known, pa.string()), (others, pa.list_(pa.string())), (n_known, pa.int64())))]
+            yield pa.RecordBatch.from_arrays(columns, names=["_row", "known", "others", "n_known"])
+
+    more = T._parse_datatype_string("known string, others array<string>, n_known long").fields
+    return rows.mapInArrow(run, T.StructType([rows.schema["_row"], *more]))
 
 
 def long_merge(ranks: dict[bytes, int]):

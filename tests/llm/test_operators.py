@@ -445,20 +445,34 @@ def test_secrets_beside_other_parts():
 
 
 # --- 10: BPE
-@pytest.mark.parametrize("frequent", [1 << 21, 50, 0])
-def test_bpe_is_the_librarys(odd, nothing, frequent):
+@pytest.mark.parametrize("room", [1 << 26, 2000, 0])
+def test_bpe_is_the_librarys(odd, nothing, room):
     import tiktoken
 
     lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(MULTI), special_tokens={})
-    got = bpe.encode(odd.select(F.col("doc_id"), F.col("text").alias("t"), F.col("text")), MULTI, public_tokenizers.PATTERN, frequent=frequent).collect()
+    got = bpe.encode(odd.select(F.col("doc_id"), F.col("text").alias("t"), F.col("text"), "n_tokens", "_row", F.lit(1).alias("known"), F.lit(2).alias("codes")), MULTI, public_tokenizers.PATTERN, room=room)
+    assert got.columns == ["doc_id", "t", "_row", "known", "codes", "ids_text", "n_tokens", "decoded"]
+    got = got.collect()
     assert len(got) == odd.count()
     for r in got:
         ids = lib.encode_ordinary(r.t or "")
-        assert (r.ids_text, r.n_tokens, r.decoded) == (",".join(map(str, ids)), len(ids), r.t or ""), r.t
-    if frequent == 50:
+        assert (r.ids_text, r.n_tokens, bytes(r.decoded)) == (",".join(map(str, ids)), len(ids), (r.t or "").encode()), r.t
+        assert (r._row, r.known, r.codes) == ("y", 1, 2)
+    if room == 2000:
         assert bpe.encode(nothing.select("doc_id", "text"), MULTI, public_tokenizers.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("room", [1 << 26, 0])
+def test_bpe_decodes_the_ids_alone(spark, room):
+    """A pattern that leaves signs out loses them in the decoded bytes, long pre-tokens included."""
+    text = "ab cd 12 " + "é" * 400
+    row = bpe.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), MULTI, r"\p{L}+", room=room).first()
+    assert bytes(row.decoded).decode() == "abcd" + "é" * 400
+    ranks = bpe.read_ranks(MULTI)
+    back = {v: k for k, v in ranks.items()}
+    assert b"".join(back[int(i)] for i in row.ids_text.split(",")) == bytes(row.decoded) and row.n_tokens == row.ids_text.count(",") + 1
+
+
 def test_every_query_returns_all_rows(spark, documents):
     n = documents.count()
     for name, f in queries.QUERIES.items():
