@@ -42,7 +42,7 @@ CACHE = 150_000
 #: What stands between pieces, a letter that no byte is written as.
 GAP = "\u0100"
 #: Bytes of text that a worker holds in pieces at once.
-PIECE = 4 << 20
+PIECE = 2 << 20
 #: Characters of a plan's text that the driver keeps.
 UNLIMITED, PRINTED = "2147483", 1 << 16
 #: Stands for the ids of a pre-token that is still to be folded.
@@ -69,10 +69,9 @@ class Codec:
         for piece, rank in ranks.items():
             if len(piece) == 2:
                 pairs[piece[0] * 256 + piece[1]] = rank
-        tables = {"ranks": buckets, "pairs": [None if r < 0 else r for r in pairs], "pieces": pieces}
-        self.tables = F.from_json(
-            F.lit(json.dumps(tables, ensure_ascii=False)), "struct<ranks:array<map<string,int>>,pairs:array<int>,pieces:array<string>>"
-        )
+        literal = lambda value, kind: F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), kind)
+        self.tables = literal({"ranks": buckets, "pairs": [None if r < 0 else r for r in pairs]}, "struct<ranks:array<map<string,int>>,pairs:array<int>>")
+        self.pieces = literal(pieces, "array<string>")
 
     def using(self, body) -> Column:
         """``body`` of the tables, which the plan holds once: every copy would travel with every task."""
@@ -118,8 +117,8 @@ class Codec:
 
     def unfold(self, ids: Column) -> Column:
         """The bytes that these decimal ids, joined by commas, stand for."""
-        pieces = lambda t: F.transform(F.split(ids, ","), lambda i: F.get(t["pieces"], i.try_cast("int")))
-        return F.encode(F.array_join(self.using(pieces), ""), "ISO-8859-1")
+        pieces = _let(self.pieces, lambda table: F.transform(F.split(ids, ","), lambda i: F.get(table, i.try_cast("int"))))
+        return F.encode(F.array_join(pieces, ""), "ISO-8859-1")
 
     def code(self, letters: Column) -> Column:
         """Ids of one pre-token."""
