@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -74,6 +75,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Cover:
+    """What a set of spans covers, as disjoint stretches in order."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def within(self, a: int, b: int) -> list[tuple[int, int]]:
+        """The stretches that meet this one."""
+        i, j = bisect_right(self.ends, a), bisect_left(self.starts, b)
+        return list(zip(self.starts[i:j], self.ends[i:j]))
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of one piece hold about ``limit`` bytes; a longer text is a piece of its own."""
     for batch in batches:

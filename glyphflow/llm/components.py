@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps.
 
-No step collects a node's neighbours: each takes a minimum per node (combined before the shuffle) and joins it back, so a node with
-very many links is a skewed join, which the engine splits. Each round is written to the shared folder.
+No step collects a node's neighbours: each takes a minimum per node (combined before the shuffle) and joins it back by shuffle.
+Each round is written to the shared folder, and the one before it deleted.
 """
 
 from __future__ import annotations
@@ -9,19 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphflow.llm.common import materialise
+from glyphflow.llm.common import materialise, release, shuffled
 
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    return shuffled(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    linked = shuffled(down, least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialise(edges.where("u != v").distinct(), "edges")
     state = None
     while True:
-        now = materialise(_small(_large(now)), "edges")
+        before, now = now, materialise(_small(_large(now)), "edges")
+        release(before)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(seen) == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
