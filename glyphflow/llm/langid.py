@@ -1,14 +1,18 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-A text's letters are lower-cased words between two marks; character grams up to ``ORDER`` within a word are counted for each language over all training rows.
-A gram is known by a ``SLOT_BITS``-bit hash, so a model holds at most ORDER * 2**SLOT_BITS entries a language, kept in arrays sorted by hash: log probability of each
-gram, and interpolation weight of each context. The language with the lowest cross-entropy per character wins.
-
-Scores and rejection are calibrated on at most ``CALIBRATION`` training rows, chosen by hash: a temperature for the chance of the winner, and for each language the
-cross-entropy above which a text is rejected; a rejected text keeps its nearest language, its score falls with the excess.
-
-Defined results: a null text or one without letters is ``und`` with score 0; ties go to the language that sorts first; rows without id count as training rows;
-without training rows every text is ``und``; an empty table gives an empty table.
+A text's letters are lower-cased words (letters and their marks) between two marks; character grams up to ``ORDER`` within a word are counted for each language over all
+training rows. A gram is its characters, 16 bits each, packed into 64 bits: nothing collides but letters beyond the first plane, which are folded into its private area.
+Continuation counts, discounts, context totals and probabilities are aggregations and joins by language and gram, order by order. What is broadcast are sorted arrays of at most
+``ENTRIES`` grams, dealt evenly to the languages: log probability of each gram, and interpolation weight of each of their contexts; a language with more keeps the grams of
+orders above 1 from a count on, and backs off for the others. At 18 bytes a gram and as much a context that is 75 MB at most, for 100 languages as for two. The language with the
+lowest cross-entropy per character wins.
+
+Scores and rejection are calibrated on about ``CALIBRATION`` distinct training rows, those with the lowest hash of id and text: a temperature for the chance of the winner, and
+for each language the cross-entropy above which a text is rejected; a rejected text keeps its nearest language, its score falls with the excess. Only their entropies reach the driver.
+
+Defined results: a null text or one without letters is ``und`` with score 0; texts of any length are read whole; ties go to the language that sorts first; rows without id count
+as training rows, repeated ones each time; without training rows every text is ``und``; the result has its own columns only, so names of ``df`` can't clash; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -19,21 +23,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphflow.llm.common import chunks
+from glyphflow.llm.common import chunks, materialise
 
-ORDER, SLOT_BITS = 4, 20
+ORDER, ENTRIES = 4, 1 << 21
 CALIBRATION = 2_000
 GATHER = 500_000
 CACHE = 500_000
-WORDS = re.compile(r"[^\W\d_]+")
+LATIN, WORDS = re.compile(r"[^\W\d_]+"), regex.compile(r"[\p{L}\p{M}]+")
 
 
 def held_out(id_col: str, folds: int, fold: int):
-    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
+    return F.coalesce(F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
 def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -45,11 +50,12 @@ def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return data, place
 
 
-def slots(keys: np.ndarray) -> np.ndarray:
-    h = keys * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+def words_of(text: str) -> list[str]:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return WORDS.findall(text.lower())
+    return LATIN.findall(text.lower())
 
 
 def grams(data: np.ndarray, order: int) -> np.ndarray:
@@ -62,35 +68,30 @@ def grams(data: np.ndarray, order: int) -> np.ndarray:
     return key
 
 
-def gram_counts(words: Counter) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order: slot, slot of its context, slot of its suffix, count."""
+def gram_counts(words: dict[str, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each order: grams and their counts."""
     each = list(words)
     data, place = codes(each)
     times = np.repeat(np.array([words[w] for w in each], dtype=np.int64), [len(w) + 1 for w in each])
     for k in range(1, ORDER + 1):
         ok = place >= k - 1
-        key, n = grams(data, k)[ok], times[ok]
-        key, inverse = np.unique(key, return_inverse=True)
-        n = np.bincount(inverse, weights=n).astype(np.int64)
-        mask = np.uint64((1 << 16 * (k - 1)) - 1)
-        yield k, slots(key), slots(key >> np.uint64(16)), slots(key & mask), n
+        key, inverse = np.unique(grams(data, k)[ok], return_inverse=True)
+        yield k, key, np.bincount(inverse, weights=times[ok]).astype(np.int64)
 
 
 def _counted(df: DataFrame) -> DataFrame:
     def of(lang: str, words: Counter) -> Iterator[pa.RecordBatch]:
-        for k, slot, ctx, suf, n in gram_counts(words):
-            size = len(slot)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * size, pa.string()), pa.array(np.full(size, k, dtype=np.int32)), pa.array(slot), pa.array(ctx), pa.array(suf), pa.array(n)],
-                names=["lang", "k", "slot", "ctx", "suf", "n"],
-            )
+        words = {w: n for w, n in words.items() if any(map(str.isalpha, w))}  # signs like superscripts aren't letters
+        for k, key, n in gram_counts(words) if words else ():
+            size = len(key)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), pa.array(np.full(size, k, dtype=np.int32)), pa.array(key.view(np.int64)), pa.array(n)], names=["lang", "k", "gram", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each: dict[str, Counter] = {}
         for batch in chunks(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 words = each.setdefault(lang, Counter())
-                words.update(WORDS.findall(text.lower()))
+                words.update(words_of(text))
                 if len(words) > GATHER:
                     yield from of(lang, words)
                     each[lang] = Counter()
@@ -98,67 +99,81 @@ def _counted(df: DataFrame) -> DataFrame:
             if words:
                 yield from of(lang, words)
 
-    return df.mapInArrow(run, "lang string, k int, slot int, ctx int, suf int, n long")
-
-
-def kneser_ney(by_order: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], alphabet: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order: slots with log probabilities, context slots with log weights. ``by_order``: slot (sorted), ctx, suf, count."""
-    out, size = [], 1 << SLOT_BITS
-    lower = np.full(size, 1.0 / (alphabet + 1))  # by slot of the order below; first the uniform chance
-    for k, (slot, ctx, suf, n) in enumerate(by_order, 1):
-        count = n.astype(np.float64)
-        if k < len(by_order):  # how many different characters stand before; a gram at a word's start has its own count
-            before = np.bincount(by_order[k][2], minlength=size)[slot]
-            count = np.where(before > 0, before, count)
-        once, twice = (count == 1).sum(), (count == 2).sum()
-        discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
-        total = np.bincount(ctx, weights=count, minlength=size)
-        kinds = np.bincount(ctx, minlength=size)
-        below = lower[suf] if k > 1 else lower[0]
-        p = (np.maximum(count - discount, 0) + discount * kinds[ctx] * below) / total[ctx]
-        seen = np.flatnonzero(kinds)
-        out.append((slot, np.log(p), seen, np.log(discount * kinds[seen] / total[seen])))
-        lower = np.full(size, 1.0 / (alphabet + 1))
-        lower[slot] = p
+    return df.mapInArrow(run, "lang string, k int, gram long, n long")
+
+
+def kneser_ney(counts: DataFrame, alphabet: int) -> list[DataFrame]:
+    """For each order (lang, gram, n, p, ctx, weight): probability of the gram after its context, and the context's interpolation weight."""
+    out: list[DataFrame] = []
+    for k in range(1, ORDER + 1):
+        own = counts.where(F.col("k") == k).select("lang", "gram", "n")
+        if k < ORDER:  # how many different characters stand before; a gram at a word's start has its own count
+            shorter = F.col("gram").bitwiseAND(F.lit((1 << 16 * k) - 1))
+            before = counts.where(F.col("k") == k + 1).groupBy("lang", shorter.alias("gram")).agg(F.count(F.lit(1)).alias("before"))
+            own = own.join(before, ["lang", "gram"], "left").select("lang", "gram", "n", F.coalesce("before", "n").alias("c"))
+        else:
+            own = own.withColumn("c", F.col("n"))
+        own = own.withColumns({"ctx": F.shiftrightunsigned("gram", 16) if k > 1 else F.lit(0).cast("long"), "suf": F.col("gram").bitwiseAND(F.lit((1 << 16 * (k - 1)) - 1))})
+        own = materialise(own, "langid-counts")
+        once, twice = F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long"))
+        discount = F.when(once + twice > 0, F.least(F.lit(0.95), F.greatest(F.lit(0.1), once / (once + 2 * twice)))).otherwise(F.lit(0.5))
+        taken = own.groupBy("lang").agg(discount.alias("d"))
+        totals = own.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        totals = totals.join(F.broadcast(taken), "lang").select("lang", "ctx", "total", "d", (F.col("d") * F.col("kinds") / F.col("total")).alias("weight"))  # a row a language
+        own = own.join(totals, ["lang", "ctx"])
+        below = F.lit(1.0 / (alphabet + 1))
+        if out:
+            own = own.join(out[-1].select("lang", F.col("gram").alias("suf"), F.col("p").alias("below")), ["lang", "suf"])
+            below = F.col("below")
+        p = F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("weight") * below
+        out.append(materialise(own.select("lang", "gram", "n", p.alias("p"), "ctx", "weight"), "langid-order"))
+    return out
+
+
+def thresholds(counts: DataFrame, langs: list[str], entries: int) -> dict[str, int]:
+    """For each language the least count from which on its grams of orders above 1 fit in its share, by a histogram of at most 320 rows a language."""
+    step = F.when(F.col("n") < 256, F.col("n")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("n"))).cast("long"))
+    out, taken = dict.fromkeys(langs, (1 << 63) - 1), dict.fromkeys(langs, 0)
+    full = set()
+    rows = counts.where("k > 1").groupBy("lang", step.alias("least")).agg(F.count(F.lit(1)).alias("grams")).collect()
+    for r in sorted(rows, key=lambda r: -r["least"]):
+        lang = r["lang"]
+        taken[lang] += r["grams"]
+        if taken[lang] > entries // len(langs):
+            full.add(lang)
+        if lang not in full:
+            out[lang] = r["least"]
     return out
 
 
+class Table:
+    """Sorted 64-bit keys, and for each the languages that have it with their values."""
+
+    def __init__(self, keys: np.ndarray, lang: np.ndarray, values: np.ndarray):
+        order = np.lexsort((lang, keys))
+        self.keys, first = np.unique(keys[order], return_index=True)
+        self.first = np.append(first, len(keys)).astype(np.int32)
+        self.lang, self.values = lang[order].astype(np.int16), values[order].astype(np.float32)
+
+    def look(self, keys: np.ndarray, langs: int) -> np.ndarray:
+        """A row of values for each key, NaN where a language lacks it."""
+        out = np.full((len(keys), langs), np.nan)
+        if not len(self.keys) or not len(keys):
+            return out
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[at] == keys)
+        first, n = self.first[at[hit]], np.diff(self.first)[at[hit]]
+        entry = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out[np.repeat(hit, n), self.lang[entry]] = self.values[entry]
+        return out
+
+
 class Model:
-    """The languages' models side by side: for each order sorted slots x languages, NaN where a language lacks one."""
-
-    def __init__(self, rows: pa.Table):
-        self.langs = sorted(set(rows["lang"].to_pylist()))
-        lang, k = np.array(rows["lang"].to_pylist(), dtype=object), rows["k"].to_numpy()
-        values = [rows[c].to_numpy() for c in ("slot", "ctx", "suf", "n")]
-        alphabet = int((k == 1).sum()) + 1
-        models = []
-        for name in self.langs:
-            orders = []
-            for order in range(1, ORDER + 1):
-                at = np.flatnonzero((lang == name) & (k == order))
-                at = at[np.argsort(values[0][at])]
-                orders.append(tuple(v[at] for v in values))
-            models.append(kneser_ney(orders, alphabet))
-        self.floor = -np.log(alphabet + 1)
-        self.grams, self.weights = [], []
-        for order in range(ORDER):
-            self.grams.append(self.merge([(m[order][0], m[order][1]) for m in models]))
-            self.weights.append(self.merge([(m[order][2], m[order][3]) for m in models]))
-        self.heat, self.limit = 1.0, np.full(len(self.langs), np.inf)
-
-    def merge(self, each) -> tuple[np.ndarray, np.ndarray]:
-        every = np.unique(np.concatenate([s for s, _ in each]))
-        table = np.full((len(every) + 1, len(each)), np.nan, dtype=np.float32)  # the last row: not found
-        for i, (s, v) in enumerate(each):
-            table[np.searchsorted(every, s), i] = v
-        return every.astype(np.int32), table
+    """The languages' models side by side: for each order the grams' log probabilities and the contexts' log weights."""
 
-    @staticmethod
-    def look(found: tuple[np.ndarray, np.ndarray], slot: np.ndarray) -> np.ndarray:
-        keys, table = found
-        at = np.searchsorted(keys, slot)
-        at[at == len(keys)] = 0
-        return table[np.where(keys[at] == slot, at, len(keys))]
+    def __init__(self, langs: list[str], alphabet: int, grams: list[Table], weights: list[Table]):
+        self.langs, self.floor, self.grams, self.weights = langs, -np.log(alphabet + 1), grams, weights
+        self.heat, self.limit = 1.0, np.full(len(langs), np.inf)
 
     def logs(self, words: list[str]) -> np.ndarray:
         """Log probability of each word and its end, for each language."""
@@ -167,8 +182,8 @@ class Model:
         for k in range(1, ORDER + 1):
             ok = np.flatnonzero(place >= k - 1)
             key = grams(data, k)[ok]
-            seen = self.look(self.grams[k - 1], slots(key))
-            weight = self.look(self.weights[k - 1], slots(key >> np.uint64(16)))
+            seen = self.grams[k - 1].look(key, len(self.langs))
+            weight = self.weights[k - 1].look(key >> np.uint64(16) if k > 1 else np.zeros_like(key), len(self.langs))
             now[ok] = np.where(np.isnan(seen), np.nan_to_num(weight, nan=0.0) + now[ok], seen)
         sizes = np.array([len(w) + 1 for w in words])
         return np.add.reduceat(now, np.cumsum(sizes) - sizes)
@@ -230,7 +245,7 @@ class Reader:
         """Nats per character for each language, and whether the text has letters."""
         if len(self.at) > CACHE:
             self.clear()
-        each = [WORDS.findall(t.lower()) if t else [] for t in texts]
+        each = [words_of(t) if t else [] for t in texts]
         new = set().union(*each).difference(self.at) if each else set()
         self.learn(sorted(new))
         out = np.zeros((len(texts), len(self.model.langs)))
@@ -244,36 +259,72 @@ class Reader:
         return out, has
 
 
-def train(df: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int, fold: int) -> Model | None:
-    rows = df.where(~held_out(id_col, folds, fold) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
+def fitted(counts: DataFrame, entries: int = ENTRIES) -> Model | None:
+    """The model of these counts (lang, k, gram, n)."""
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    if not langs:
+        return None
+    alphabet = counts.where("k = 1").select("gram").distinct().count() + 1
+    least = thresholds(counts, langs, entries)
+    number = F.create_map(*[x for i, name in enumerate(langs) for x in (F.lit(name), F.lit(i))])
+    bound = F.create_map(*[x for name in langs for x in (F.lit(name), F.lit(least[name]).cast("long"))])
+    grams, weights = [], []
+    for k, rows in enumerate(kneser_ney(counts, alphabet), 1):
+        kept = rows if k == 1 else rows.where(F.col("n") >= F.element_at(bound, F.col("lang")))
+        kept = kept.withColumn("i", F.element_at(number, F.col("lang")))
+        for into, key, value in ((grams, "gram", "p"), (weights, "ctx", "weight")):
+            got = kept.select("i", key, F.log(value).cast("float").alias("v"))
+            got = (got.distinct() if key == "ctx" else got).toArrow()  # at most ``entries``, and the single characters
+            into.append(Table(got[key].to_numpy().view(np.uint64), got["i"].to_numpy(), got["v"].to_numpy()))
+    return Model(langs, alphabet, grams, weights)
+
+
+def _entropies(rows: DataFrame, shared) -> DataFrame:
+    """(h, lang, entropy) of rows (h, lang, text) with letters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, done = Reader(shared.value), set()
+        for batch in chunks(batches):
+            new = []
+            for i, x in enumerate(zip(batch.column("h").to_pylist(), batch.column("lang").to_pylist())):
+                if x not in done:
+                    done.add(x)
+                    new.append(i)
+            part = batch.take(pa.array(new, pa.int64()))
+            each, has = reader.entropies(part.column("text").to_pylist())
+            keep = pa.array(np.flatnonzero(has))
+            columns = [part.column(c).take(keep) for c in ("h", "lang")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(each[has].tolist(), pa.list_(pa.float64()))], names=["h", "lang", "entropy"])
+
+    return rows.mapInArrow(run, "h long, lang string, entropy array<double>")
+
+
+def train(df: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int, fold: int, entries: int = ENTRIES) -> Model | None:
+    spark = df.sparkSession
+    rows = df.where(~held_out(id_col, folds, fold) & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(
+        F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")
     )
-    counted = _counted(rows.select("lang", "text")).groupBy("lang", "k", "slot")
-    table = counted.agg(F.min("ctx").alias("ctx"), F.min("suf").alias("suf"), F.sum("n").alias("n")).toArrow()  # at most ORDER * 2**SLOT_BITS a language
-    if not table.num_rows:
+    counts = materialise(_counted(rows.select("lang", "text")).groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")), "langid-grams")
+    model = fitted(counts, entries)
+    if model is None:
         return None
-    model = Model(table)
-    size = rows.count()
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(max(1, size // CALIBRATION))) == 0).limit(CALIBRATION).toArrow()
-    entropy, has = Reader(model).entropies(sample["text"].to_pylist())
-    keep = has & np.array([x in model.langs for x in sample["lang"].to_pylist()], dtype=bool)
-    if keep.any():
-        model.calibrate(entropy[keep], [x for x, k in zip(sample["lang"].to_pylist(), keep) if k])
+    share = min(1.0, CALIBRATION / max(1, rows.count()))
+    hashed = rows.select(F.xxhash64("id", "text").alias("h"), "lang", "text").where(F.col("h") <= min(int(share * (1 << 64)) - (1 << 63), (1 << 63) - 1))
+    found = _entropies(hashed, spark.sparkContext.broadcast(model)).groupBy("h", "lang").agg(F.min("entropy").alias("entropy")).orderBy("h", "lang").collect()
+    if found:
+        model.calibrate(np.array([r["entropy"] for r in found]), [r["lang"] for r in found])
     return model
 
 
-def predict(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, fold: int = 2) -> DataFrame:
+def predict(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, fold: int = 2, entries: int = ENTRIES) -> DataFrame:
     """For each row: its id, held_out, lang_pred, score, entropy (nats per character), rejected."""
-    model = train(df, id_col, text_col, lang_col, folds, fold)
-    shared = df.sparkSession.sparkContext.broadcast(vars(model) if model else None)
-    rows = df.select(F.col(id_col).alias("id"), held_out(id_col, folds, fold).alias("held_out"), F.col(text_col).alias("text"))
+    model = train(df, id_col, text_col, lang_col, folds, fold, entries)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), held_out(id_col, folds, fold).alias("held_out"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = None
-        if shared.value is not None:
-            own = Model.__new__(Model)
-            own.__dict__ = shared.value
-            reader = Reader(own)
+        own = shared.value
+        reader = Reader(own) if own is not None else None
         for batch in chunks(batches):
             n = batch.num_rows
             pred, score, entropy, rejected = ["und"] * n, np.zeros(n), [None] * n, [False] * n
