@@ -2,10 +2,15 @@
 
 Four exact patterns give the base spans, which always stay. Further candidates (unprefixed phone numbers, spelled-out addresses,
 shorter card numbers, social security numbers) and the base spans too are voted on by labelers: pattern strictness, checksums and ranges, a gazetteer
-of domains, issuers and area codes, words of context for and against, and placeholders. Expectation-maximisation over the counts of vote patterns (a bounded
-table, counted over all documents) estimates each labeler's reliability; its posteriors train a logistic span classifier, which decides on what is not base.
+of domains, issuers and area codes, words of context for this kind or another, words of other numbers, and placeholders. Expectation-maximisation over the counts of vote patterns
+estimates each labeler's reliability for each kind, drawn towards its reliability over all kinds; only the first two are held to be better than chance. Its posteriors are the
+soft labels of a logistic span classifier, whose features are the votes and the span's own shape (groups, separators, what stands beside it), which no labeler reads; it
+decides on what is not base.
 
-Defined results: a null text counts as empty; equal rows get equal results; extra columns pass through; an empty table gives an empty table.
+What reaches the driver is a count for each pattern of kind, votes and shape that occurs: at most 5 * 3**6 * 480, whatever the corpus.
+
+Defined results: a null text counts as empty; a text of any length is read whole, in time proportional to it but for sorting; spans of a kind that start alike are ordered by
+end; equal rows get equal results; extra columns pass through, one named spans is replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphflow.llm.common import chunks, materialise
+from glyphflow.llm.common import Cover, chunks, materialise, own, packed
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "ssn")
@@ -47,6 +52,7 @@ FOR = {
 }
 AGAINST = ("isbn", "order", "invoice", "version", "ref", "part", "serial", "build", "commande", "rechnung", "factura")
 CONTEXT = 40
+PLACEHOLDERS = frozenset("test example user name someone nobody foo bar abc xxx your you email mail".split())
 LABELERS = ("pattern", "check", "gazetteer", "context", "against", "placeholder")
 
 
@@ -108,6 +114,7 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> str:
     """One sign for each labeler: + for, - against, 0 abstains."""
     span, before = text[start:end], text[max(0, start - CONTEXT) : start].lower()
     near = set(re.findall(r"\w+", before))
+    others = {w for k in KINDS if k != kind for w in FOR[k]}
     d = DIGITS.sub("", span)
     around = text[start - 1 : start] + text[end : end + 1]
     strict = base and not any(c.isalnum() for c in around)
@@ -126,22 +133,39 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> str:
             "+" if strict else "0" if base else "-" if any(c.isalnum() for c in around) else "0",
             check,
             known,
-            "+" if near & {*FOR[kind]} else "0",
-            "-" if near & {*AGAINST} else "0",
-            "-" if d and len(set(d)) <= 2 else "0",
+            "+" if near & {*FOR[kind]} else "-" if near & others else "0",
+            "-" if near & {*AGAINST} else "+" if before.rstrip()[-1:] in (":", "") else "0",
+            placeholder(kind, span, d),
         )
     )
 
 
-def _overlaps(span: tuple[int, int], others: list[tuple[int, int]]) -> bool:
-    return any(a < span[1] and span[0] < b for a, b in others)
+def placeholder(kind: str, span: str, digits: str) -> str:
+    """Whether this looks made up (-), or has the variety of a real one (+)."""
+    if kind == "email":
+        return "-" if re.split(r"[^A-Za-z]", span.lower())[0] in PLACEHOLDERS else "0"
+    if kind == "ip":
+        return "0"
+    return "-" if len(set(digits)) <= 2 or digits in "01234567890123456789" else "+" if len(set(digits)) >= 5 else "0"
+
+
+def shape(text: str, start: int, end: int) -> str:
+    """Three signs for a span: its groups, what separates them, and what stands before and after."""
+    span = text[start:end]
+    groups = min(5, len(re.findall(r"[A-Za-z0-9]+", span)))
+    signs = set(re.findall(r"[^A-Za-z0-9]", span))
+    separators = "n" if not signs else {" ": "s", "-": "d", ".": "p"}.get(next(iter(signs)), "o") if len(signs) == 1 else "m" if signs <= set(" -().+") else "o"
+
+    def beside(c: str) -> str:
+        return "e" if not c or c == "\n" else "s" if c.isspace() else "w" if c.isalnum() else "o"
+
+    return f"{groups}{separators}{beside(text[start - 1 : start] if start else '')}{beside(text[end : end + 1])}"
 
 
-def extract(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` without its text, with base spans and candidates: array of (kind, start, end, base, key); key is kind:votes."""
-    rest = [c for c in df.columns if c != text_col]
+def extract(rows: DataFrame) -> DataFrame:
+    """(_row, cands) of (_row, _text): base spans and candidates, array of (kind, start, end, base, key); key is kind:votes:shape."""
     span = "array<struct<kind:string,start:int,end:int,base:boolean,key:string>>"
-    schema = T.StructType([*df.select(*rest).schema.fields, T.StructField("cands", T._parse_datatype_string(span))])
+    schema = T.StructType([rows.schema["_row"], T.StructField("cands", T._parse_datatype_string(span))])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("key", pa.string())]))
 
     def one(text: str | None) -> list[dict]:
@@ -149,47 +173,56 @@ def extract(df: DataFrame, text_col: str = "text") -> DataFrame:
             return []
         found = base_spans(text)
         out = [(k, a, b, True) for k in BASE for a, b in found[k]]
-        taken = sorted(s for k in BASE for s in found[k])
-        out += [(k, a, b, False) for k, a, b in further(text) if not _overlaps((a, b), taken)]
+        taken = Cover(s for k in BASE for s in found[k])
+        out += [(k, a, b, False) for k, a, b in further(text) if not taken.within(a, b)]
         out.sort(key=lambda x: (KINDS.index(x[0]), x[1]))
-        return [dict(zip(("kind", "start", "end", "base", "key"), (*x, f"{x[0]}:{votes(text, *x)}"))) for x in out]
+        return [dict(zip(("kind", "start", "end", "base", "key"), (*x, f"{x[0]}:{votes(text, *x)}:{shape(text, x[1], x[2])}"))) for x in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, text_col):
-            cands = pa.array([one(t) for t in batch.column(text_col).to_pylist()], kind)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], cands], names=[*rest, "cands"])
+        for batch in chunks(batches, "_text"):
+            cands = pa.array([one(t) for t in batch.column("_text").to_pylist()], kind)
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), cands], names=["_row", "cands"])
 
-    return df.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
-def reliabilities(patterns: dict[str, int], rounds: int = 50) -> tuple[dict[str, float], dict[str, float]]:
-    """Expectation-maximisation over vote patterns: (labeler -> how often its votes are right, pattern -> chance of being personal data)."""
+def reliabilities(patterns: dict[str, int], rounds: int = 50) -> tuple[dict[str, dict[str, float]], dict[str, float]]:
+    """Expectation-maximisation over vote patterns kind:votes: (kind -> labeler -> how often its votes are right, pattern -> chance of being personal data)."""
     keys = sorted(patterns)
     if not keys:
-        return dict.fromkeys(LABELERS, 0.5), {}
+        return {}, {}
     v = np.array([[{"+": 1, "-": -1, "0": 0}[c] for c in k.partition(":")[2]] for k in keys])
     n = np.array([patterns[k] for k in keys], dtype=float)
-    right, prior = np.full(v.shape[1], 0.8), 0.5
+    kinds = sorted({k.partition(":")[0] for k in keys})
+    of = np.array([[k.partition(":")[0] == name for k in keys] for name in kinds], dtype=float)  # kinds x patterns
+    least = np.array([0.55, 0.55, 0.05, 0.05, 0.05, 0.05])  # the first two anchor what is personal data
+    right, prior = np.full((len(kinds), v.shape[1]), 0.8), np.full(len(kinds), 0.5)
+    mine = of.argmax(0)
     for _ in range(rounds):
         weight = np.log(right / (1 - right))
-        post = 1 / (1 + np.exp(-np.clip(v @ weight + math.log(prior / (1 - prior)), -30, 30)))
-        says = (n[:, None] * (v != 0)).sum(0)
-        agree = (n[:, None] * np.where(v > 0, post[:, None], np.where(v < 0, 1 - post[:, None], 0))).sum(0)
-        right = np.clip((agree + 8) / (says + 10), 0.55, 0.99)  # a labeler is held to be better than chance
-        prior = float(np.clip((n @ post + 1) / (n.sum() + 2), 0.05, 0.95))
-    return dict(zip(LABELERS, right.tolist())), dict(zip(keys, post.tolist()))
+        post = 1 / (1 + np.exp(-np.clip((v * weight[mine]).sum(1) + np.log(prior / (1 - prior))[mine], -30, 30)))
+        says = n[:, None] * (v != 0)
+        agree = n[:, None] * np.where(v > 0, post[:, None], np.where(v < 0, 1 - post[:, None], 0))
+        overall = (agree.sum(0) + 8) / (says.sum(0) + 10)
+        right = np.clip((of @ agree + 10 * overall) / (of @ says + 10), least, 0.99)
+        prior = np.clip((of @ (n * post) + 1) / (of @ n + 2), 0.05, 0.95)
+    return {k: dict(zip(LABELERS, right[i].tolist())) for i, k in enumerate(kinds)}, dict(zip(keys, post.tolist()))
 
 
 def features(key: str) -> list[float]:
-    kind, _, signs = key.partition(":")
-    return [1.0, *[float(kind == k) for k in KINDS], *[float(c == "+") for c in signs], *[float(c == "-") for c in signs]]
+    kind, signs, form = key.split(":")
+    groups, separators, before, after = form
+    return [
+        1.0, *[float(kind == k) for k in KINDS], *[float(c == "+") for c in signs], *[float(c == "-") for c in signs],
+        *[float(groups == c) for c in "2345"], *[float(separators == c) for c in "sdpmo"], *[float(before == c) for c in "swo"], *[float(after == c) for c in "swo"],
+    ]
 
 
 def classifier(patterns: dict[str, int], chance: dict[str, float], rounds: int = 30, ridge: float = 1.0) -> np.ndarray:
-    """Weights of a logistic regression on pattern counts with the chances as soft labels, by Newton steps."""
+    """Weights of a logistic regression on counts of kind:votes:shape with the chances of kind:votes as soft labels, by Newton steps."""
     keys = sorted(patterns)
-    x = np.array([features(k) for k in keys]).reshape(len(keys), 1 + len(KINDS) + 2 * len(LABELERS))
-    n, y = np.array([patterns[k] for k in keys], dtype=float), np.array([chance[k] for k in keys])
+    x = np.array([features(k) for k in keys])
+    n, y = np.array([patterns[k] for k in keys], dtype=float), np.array([chance[k.rpartition(":")[0]] for k in keys])
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -200,19 +233,26 @@ def classifier(patterns: dict[str, int], chance: dict[str, float], rounds: int =
 
 def accepted(patterns: dict[str, int]) -> list[str]:
     """Keys of patterns that the classifier takes."""
-    _, chance = reliabilities(patterns)
+    if not patterns:
+        return []
+    voted: dict[str, int] = {}
+    for k, n in patterns.items():
+        voted[k.rpartition(":")[0]] = voted.get(k.rpartition(":")[0], 0) + n
+    _, chance = reliabilities(voted)
     w = classifier(patterns, chance)
     return [k for k in sorted(patterns) if float(np.dot(w, features(k))) > 0]
 
 
 def find(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` without its text, with ``spans``: array of (kind, start, end, base), by kind as listed, then start."""
-    rows = materialise(extract(df, text_col), "pii")
+    packed_rows, names = packed(df, text_col, ("spans",))
+    rows = materialise(extract(packed_rows), "pii")
     keys = rows.select(F.explode("cands.key").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    patterns = {r["key"]: r["n"] for r in keys.collect()}  # at most len(KINDS) * 3**len(LABELERS)
+    patterns = {r["key"]: r["n"] for r in keys.collect()}  # at most len(KINDS) * 3**len(LABELERS) * 480
     good = F.array(*map(F.lit, accepted(patterns))).cast("array<string>")
     taken = F.filter("cands", lambda c: c["base"] | F.array_contains(good, c["key"]))
-    return rows.withColumn("spans", F.transform(taken, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base")))).drop("cands")
+    spans = F.transform(taken, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base")))
+    return rows.select(*own(names, text_col, text=False), spans.alias("spans"))
 
 
 def joined(spans):

@@ -37,7 +37,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_docs(spark, sf_dir))
     base = F.filter("spans", lambda s: s["base"])
     counts = [_of_kind(base, k) for k in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
