@@ -4,7 +4,8 @@ Three exact patterns give the base spans, which always stay. The method adds str
 covers, tested as a whole, by segments between signs, and by every stretch of tokens just ``LEAST`` long or longer. Those whose characters per token fall below ``RATIO`` (prose has
 about four, random strings about two) are found, unless they are known digests by their length, identifiers such as UUIDs, or numbers.
 
-Defined results: a null text counts as empty; equal rows get equal results; extra columns pass through; an empty table gives an empty table.
+Defined results: a null text counts as empty; a text of any length is scanned whole, in time proportional to it but for sorting; spans that start alike are ordered by kind as
+listed; equal rows get equal results; extra columns pass through, one named secret_spans is replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphflow.llm.common import chunks
+from glyphflow.llm.common import Cover, chunks, own, packed
 
 BASE = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -122,9 +123,10 @@ class Scanner:
         if not text:
             return []
         base, more = base_spans(text), []
+        covered = Cover((x, y) for _, x, y in base)
         for m in RUN.finditer(text):
             a, b = m.span()
-            for a, b in outside(a, b, [(x, y) for _, x, y in base if x < b and a < y]):
+            for a, b in outside(a, b, covered.within(a, b)):
                 for a, b in outside(a, b, [u.span() for u in UUIDS.finditer(text, a, b)]):
                     more += [("random", x, y) for x, y in self.parts(text, a, b)]
         return sorted(base + more, key=lambda x: (x[1], (*BASE, "random").index(x[0]))) if more else base
@@ -140,22 +142,23 @@ def find(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", r
 
     With ``redact`` the text is rewritten: each stretch that spans cover becomes this string. Without, the text is left out."""
     shared = df.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))  # as large as the vocabulary
-    rest = df.columns if redact is not None else [c for c in df.columns if c != text_col]
+    rows, names = packed(df, text_col, ("secret_spans",))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    schema = T.StructType([*df.select(*rest).schema.fields, T.StructField("secret_spans", T._parse_datatype_string("array<struct<kind:string,start:int,end:int>>"))])
+    out = rows if redact is not None else rows.select("_row")
+    schema = T.StructType([*out.schema.fields, T.StructField("secret_spans", T._parse_datatype_string("array<struct<kind:string,start:int,end:int>>"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(shared.value, pattern)
-        for batch in chunks(batches, text_col):
-            texts = batch.column(text_col).to_pylist()
+        for batch in chunks(batches, "_text"):
+            texts = batch.column("_text").to_pylist()
             found = [scanner.spans(t) for t in texts]
-            columns = {c: batch.column(c) for c in rest}
+            columns = {"_row": batch.column("_row")}
             if redact is not None:
-                columns[text_col] = pa.array([redacted(t, s, redact) if s else t for t, s in zip(texts, found)], pa.string())
-            spans = pa.array([[dict(zip(("kind", "start", "end"), s)) for s in x] for x in found], kind)
-            yield pa.RecordBatch.from_arrays([*columns.values(), spans], names=[*rest, "secret_spans"])
+                columns["_text"] = pa.array([redacted(t, s, redact) if s else t for t, s in zip(texts, found)], pa.string())
+            columns["secret_spans"] = pa.array([[dict(zip(("kind", "start", "end"), s)) for s in x] for x in found], kind)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return df.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*own(names, text_col, redact is not None), "secret_spans")
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]], by: str) -> str:
