@@ -6,11 +6,13 @@ Capacities are floor or ceil of rows/shards, so counts are at most one apart (la
 
 Only counts per cell (a fixed number of them) reach the driver, which walks the ring once and
 returns, for each cell, rank intervals with a shard and a first slot. Rows find their interval by
-their rank within their cell. A cell that one key has filled is ranked in ``SALTS`` parts.
+their rank within their cell, in the order of key, checksum and size. In a cell that a key has filled, rows equal
+in these three are counted in ``SALTS`` parts; the parts' counts, summed in that order, give each part its first
+rank, so that no task holds a hot key and which keys go where doesn't depend on the layout.
 
-Defined results: a null text has size 1 and checksum 0; null keys share one ring position;
+Defined results: a null text has size 1 and checksum 0; texts have any length; null keys share one ring position;
 rows with equal keys are ordered by checksum and size, and equal rows among each other
-arbitrarily; extra columns are dropped; an empty table gives an empty table.
+arbitrarily; the result has its own columns only, so extra ones can't clash; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from glyphflow.llm.common import materialise
 CELLS = 1 << 16
 VNODES = 128
 SALTS = 256
-#: A cell with more rows than this and than 8 times the mean is ranked in parts.
+#: A cell with more rows than this and than 8 times the mean is ranked by parts.
 HOT_ROWS = 1_000
 
 
@@ -84,11 +86,11 @@ def fill(counts: dict[int, int], shards: int, vnodes: int = VNODES) -> list[list
 
 def assign(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", shards: int = 8, vnodes: int = VNODES) -> DataFrame:
     """One row for each row of ``df``: key, size, text_crc32, home shard, shard, slot."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    hashed = F.xxhash64(F.col(key_col))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    hashed = F.xxhash64(F.col(f"`{key_col}`"))
     keyed = materialise(
         df.select(
-            F.col(key_col).alias("key"),
+            F.col(f"`{key_col}`").alias("key"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             hashed.alias("at"),
@@ -100,27 +102,19 @@ def assign(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", shard
     counts = {r["cell"]: r["n"] for r in keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most CELLS rows
     plan = fill(counts, shards, vnodes)
     limit = max(HOT_ROWS, 8 * sum(counts.values()) // CELLS)
-    hot = [c for c, n in counts.items() if n > limit]
-    parts = keyed.withColumn("part", F.when(F.col("cell").isin(hot), F.col("salt")).otherwise(F.lit(0)) if hot else F.lit(0))
-    base = F.lit(0)
-    if hot:  # fewer than CELLS / 8 cells of SALTS parts
-        first: dict[int, list[int]] = {c: [0] * SALTS for c in hot}
-        for r in parts.where(F.col("cell").isin(hot)).groupBy("cell", "part").agg(F.count(F.lit(1)).alias("n")).collect():
-            first[r["cell"]][r["part"]] = r["n"]
-        rows = []
-        for c, sizes in first.items():
-            total = 0
-            for p, n in enumerate(sizes):
-                rows.append([c, p, total])
-                total += n
-        bases = df.sparkSession.range(1).select(
-            F.inline(F.from_json(F.lit(json.dumps([dict(zip(("cell", "part", "base"), x)) for x in rows])), "array<struct<cell:int,part:int,base:bigint>>"))
-        )
-        parts = parts.join(F.broadcast(bases), ["cell", "part"], "left")
-        base = F.coalesce("base", F.lit(0))
-    ranked = parts.withColumn(
-        "rank", base + F.row_number().over(W.partitionBy("cell", "part").orderBy("at", "key", "text_crc32", "size"))
-    )
+    hot = [c for c, n in counts.items() if n > limit]  # fewer than CELLS / 8
+    same = ["at", "key", "text_crc32", "size"]
+    ranked = keyed.where(~F.col("cell").isin(hot)).withColumn("rank", F.row_number().over(W.partitionBy("cell").orderBy(*same)).cast("long"))
+    if hot:
+        filled = keyed.where(F.col("cell").isin(hot))
+        parts = filled.groupBy("cell", *same, "salt").agg(F.count(F.lit(1)).alias("n"))
+        before = W.partitionBy("cell").orderBy(*same, "salt").rowsBetween(W.unboundedPreceding, -1)
+        parts = materialise(parts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "ring-parts")
+        filled = filled.withColumn("nth", F.row_number().over(W.partitionBy("cell", *same, "salt").orderBy(F.lit(0))))
+        b = parts.select(*[F.col(c).alias(f"p_{c}") for c in parts.columns]).hint("merge")
+        match = [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in ("cell", *same, "salt")]
+        found = filled.join(b, match)
+        ranked = ranked.unionByName(found.select(*keyed.columns, (F.col("p_base") + F.col("nth")).cast("long").alias("rank")))
     literal = F.from_json(
         F.lit(json.dumps([[{"hi": h, "s": s, "b": b} for h, s, b in x] for x in plan])),
         "array<array<struct<hi:bigint,s:int,b:bigint>>>",
