@@ -4,9 +4,9 @@
 a policy is a mask over these bits, so new policies and ablations never read a text again.
 
 Defined results: a null text counts as an empty one (no words; it fails ``few_words``);
-extra columns pass through untouched; equal rows get equal results; an empty table gives
-an empty table. Windows are compared by their 64-bit hash: within a text of a million
-words two different windows meet with a chance below one in ten million.
+texts of any length are measured whole; windows are ordered by hash but compared word by word;
+extra columns pass through untouched, one named like a measure or fail_bits is replaced;
+equal rows get equal results; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphflow.llm.common import NOT_SPACE, WORD
+from glyphflow.llm.common import NOT_SPACE, WORD, own, packed
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
@@ -45,17 +45,20 @@ def mask(rules: tuple[str, ...]) -> int:
 
 def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Add the columns of MEASURES. Each step is one projection, so nothing is evaluated twice."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    kept = df.columns
-    step = df.select(
+    rows, names = packed(df, text_col, MEASURES)
+    text = F.coalesce(F.col("_text"), F.lit(""))
+    kept = ["_row", "_text"]
+    step = rows.select(
         *kept,
         F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_w"),
         F.filter(F.split(text, "\n", -1), lambda x: x.rlike(NOT_SPACE)).alias("_l"),
         F.char_length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
         (F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
     )
+    second, third = (lambda i: F.get("_w", i + 1)), (lambda i: F.get("_w", i + 2))
     window = F.transform(
-        "_w", lambda w, i: F.struct(F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i"))
+        "_w",
+        lambda w, i: F.struct(F.xxhash64(w, second(i), third(i)).alias("h"), w.alias("a"), second(i).alias("b"), third(i).alias("c"), i.alias("i")),
     )
     step = step.select(
         *kept, "word_chars", "n_symbols",
@@ -64,14 +67,17 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.sort_array(F.slice(window, F.lit(1), F.greatest(F.size("_w") - 2, F.lit(0)))).alias("_s"),
     )
-    twice = F.filter(
-        "_s", lambda x, j: (x["h"] == F.get("_s", j + 1)["h"]) | (x["h"] == F.get("_s", j - 1)["h"])
-    )
+
+    def same(x: Column, y: Column) -> Column:
+        return (x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+
+    twice = F.filter("_s", lambda x, j: same(x, F.get("_s", j + 1)) | same(x, F.get("_s", j - 1)))
     step = step.select(*kept, *[m for m in MEASURES if m != "n_repeat_words"], F.transform(twice, lambda x: x["i"]).alias("_p"))
     covered = F.array_union(
         F.array_union("_p", F.transform("_p", lambda p: p + 1)), F.transform("_p", lambda p: p + 2)
     )
-    return step.select(*kept, *[m for m in MEASURES if m != "n_repeat_words"], F.size(covered).cast("long").alias("n_repeat_words"))
+    step = step.select(*kept, *[m for m in MEASURES if m != "n_repeat_words"], F.size(covered).cast("long").alias("n_repeat_words"))
+    return step.select(*own(names, text_col), *[m for m in MEASURES if m != "n_repeat_words"], "n_repeat_words")
 
 
 def ledger(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -79,7 +85,7 @@ def ledger(df: DataFrame, text_col: str = "text") -> DataFrame:
     bits = F.lit(0).cast("long")
     for k, (_, failing) in enumerate(RULES):
         bits = bits.bitwiseOR(F.when(F.expr(failing), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-    return measure(df.drop(*MEASURES, "fail_bits"), text_col).withColumn("fail_bits", bits)
+    return measure(df.drop("fail_bits"), text_col).withColumn("fail_bits", bits)
 
 
 def passes(policy: str, bits: str = "fail_bits") -> Column:
