@@ -3,8 +3,9 @@
 Before any document is read, each vocabulary string that ends a word is encoded alone; those that come out as one token
 are the proven whole tokens. A pre-token among them counts one; only the rest is merged, once per worker while its cache holds it.
 
-Defined results: a null text counts as empty, with 0 bytes and 0 tokens; the vocabulary's special strings count one token
-each, as the library counts them by default; extra columns pass through; equal rows get equal counts.
+Defined results: a null text counts as empty, with 0 bytes and 0 tokens; a text of any length is counted whole; the vocabulary's special strings count one token
+each, as the library counts them by default, the longest first where several match; equal rows get equal counts; extra columns pass through, one named like a result is
+replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphflow.llm.common import chunks
+from glyphflow.llm.common import chunks, own, packed
 
 #: Unicode white space, which the vocabulary's pattern separates by.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -64,6 +65,7 @@ class Counter(dict):
         self.whole, self.merge = whole, Tokenizer.from_str(definition).model.tokenize
         special = [t["content"] for t in json.loads(definition).get("added_tokens", ())]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.signs = {t[0] for t in special}  # no special string without one of these
 
     def __missing__(self, piece: str) -> int:
         n = len(self.merge(piece.encode().decode("latin-1").translate(LETTERS)))
@@ -74,7 +76,7 @@ class Counter(dict):
         return n
 
     def count(self, text: str) -> int:
-        if self.special is None or "<" not in text:
+        if not any(sign in text for sign in self.signs):
             return sum(map(self.__getitem__, pieces(text)))
         parts = self.special.split(text)
         return len(parts) - 1 + sum(sum(map(self.__getitem__, pieces(p))) for p in parts)
@@ -106,17 +108,15 @@ def count(df: DataFrame, vocabulary: str, text_col: str = "text", limit: int = 2
     with open(vocabulary, encoding="utf-8") as f:
         definition = f.read()
     shared = df.sparkSession.sparkContext.broadcast((definition, proven(definition)))  # as large as the vocabulary
-    out = df.withColumns({"n_bytes": F.lit(0).cast("long"), "n_tokens": F.lit(0).cast("long"), "over_limit": F.lit(False)})
+    rows, names = packed(df, text_col, ("n_bytes", "n_tokens", "over_limit"))
+    more = T._parse_datatype_string("n_bytes long, n_tokens long, over_limit boolean").fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(*shared.value)
-        for batch in chunks(batches, text_col):
-            texts = batch.column(text_col).to_pylist()
-            n = [counter.count(t) if t else 0 for t in texts]
-            columns, col = list(batch.columns), batch.schema.get_field_index
-            columns[col("n_bytes")] = pa.compute.fill_null(pa.compute.binary_length(batch.column(text_col)), 0).cast(pa.int64())
-            columns[col("n_tokens")] = pa.array(n, pa.int64())
-            columns[col("over_limit")] = pa.array([x > limit for x in n], pa.bool_())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-    return out.mapInArrow(run, T.StructType(out.schema.fields))
+        for batch in chunks(batches, "_text"):
+            n = [counter.count(t) if t else 0 for t in batch.column("_text").to_pylist()]
+            size = pa.compute.fill_null(pa.compute.binary_length(batch.column("_text")), 0).cast(pa.int64())
+            columns = [*batch.columns, size, pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "n_bytes", "n_tokens", "over_limit"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *more])).select(*own(names, text_col), "n_bytes", "n_tokens", "over_limit")
