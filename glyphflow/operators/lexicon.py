@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glyphflow.functions import letters, tokens
+from glyphflow.operators import graph
 
 
 def occurrences(docs: DataFrame, text_col: str = "text", pattern: str = r"\p{L}+", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -160,29 +159,8 @@ def prepare_pairs(pairs: DataFrame, a: str, b: str, longest: int = 32, spelling:
     )
 
 
-def components(pairs: DataFrame, a: str, b: str, checkpoint: str | None = None) -> DataFrame:
-    """Pairs that share either side belong together: each pair with the least key of its component.
-
-    Labels move along shared keys as minima (combined before each shuffle) and jump through the label of their label, so long chains shrink fast; each round
-    is written to the shared folder."""
-    spark = pairs.sparkSession
-    folder = checkpoint or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-
-    def saved(df: DataFrame) -> DataFrame:
-        path = f"{folder}/components-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    edges = saved(pairs.select(F.concat(F.lit("a:"), F.col(a)).alias("u"), F.concat(F.lit("b:"), F.col(b)).alias("v")).distinct())
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    labels = saved(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("key"), F.least("u", "m").alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("key").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        moved = labels.join(near, labels.key == near.u, "left").select("key", "label", F.least("label", "near").alias("new"))
-        jump = labels.select(F.col("key").alias("new"), F.col("label").alias("far"))
-        now = saved(moved.join(jump, "new", "left").select("key", F.least("new", "far").alias("label"), (F.least("new", "far") != F.col("label")).alias("changed")))
-        changed = now.where("changed").limit(1).count()
-        labels = now.select("key", "label")
-        if not changed:
-            break
-    return pairs.join(labels.withColumn(a, F.expr("substr(key, 3)")).where("key LIKE 'a:%'").select(a, F.col("label").alias("component")), a)
+def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs that share either side belong together: each pair with the least key of its component, which is one of side ``a``."""
+    edges = pairs.select(F.concat(F.lit("b:"), F.col(b)).alias("u"), F.concat(F.lit("a:"), F.col(a)).alias("v"))
+    found = graph.components(edges).where("node LIKE 'a:%'").select(F.substr("node", F.lit(3)).alias("_a"), "root")
+    return pairs.join(found, F.col(a) == F.col("_a"), "left").withColumn("component", F.coalesce("root", F.concat(F.lit("a:"), F.col(a)))).drop("_a", "root")

@@ -60,4 +60,4 @@ FREQ_LANG_SQL = f"SELECT lang, word, count(*) AS freq FROM ({WORDS_SQL}) GROUP B
 
 def load() -> None:
     """Fill QUERIES and SQL."""
-    from glyphflow.plans import queries_corpus, queries_script, queries_store  # noqa: F401
+    from glyphflow.plans import queries_corpus, queries_files, queries_image, queries_script, queries_store  # noqa: F401
