@@ -65,6 +65,12 @@ def typed_as(word: Column, substitutions=None) -> Column:
     return F.concat(F.lit("^"), F.array_join(F.transform(F.split(word, ""), lambda c: F.coalesce(F.element_at(table, c), c)), ""), F.lit("$"))
 
 
+def plainer(typed: Column, word: Column, skeleton: Column) -> Column:
+    """Whether ``typed`` is the word with some of its letters as in the skeleton, which both share letter for letter."""
+    each = F.arrays_zip(F.split(typed, "").alias("t"), F.split(word, "").alias("w"), F.split(skeleton, "").alias("k"))
+    return F.forall(each, lambda x: (x["t"] == x["w"]) | (x["t"] == x["k"]))
+
+
 def channel(right: str, typed: str) -> tuple[float, list[tuple[str, str]]] | None:
     """The cheapest way to type ``typed`` for ``right``, with its substitutions, or None."""
     best: dict[int, tuple[float, list[tuple[str, str]]]] = {0: (0.0, [])}
@@ -119,6 +125,12 @@ def spelling_distance_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Ite
         yield pd.Series([spelling_distance(x, y) if x is not None and y is not None else None for x, y in zip(a, b)])
 
 
+def related(a: Column, b: Column, most: float = 0.29) -> Column:
+    """Whether two spellings have as many spaces and are at most ``most`` apart."""
+    spaces = lambda c: F.char_length(c) - F.char_length(F.replace(c, F.lit(" "), F.lit("")))
+    return (spaces(a) == spaces(b)) & (spelling_distance_udf(a, b) <= most)
+
+
 @F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode NFC, which has no built-in function."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -47,7 +49,18 @@ def dashes(col: Column) -> Column:
     return F.regexp_replace(col, rf"[ \t]*(?:[{t.DASHES}]|(?<=\s)-(?=\s))[ \t]*", f" {t.VERTICAL_DASH} ")
 
 
+#: Letters of the tables that may come as a letter and its marks, the longest first.
+COMPOSED = sorted(((unicodedata.normalize("NFD", c), c) for c in {c for a, _ in t.LATIN_TO_ASCII for c in a} if unicodedata.normalize("NFD", c) != c), key=lambda x: (-len(x[0]), x))
+
+
+def composed(col: Column) -> Column:
+    """Letter and marks as the one letter that the tables know; texts without marks are only searched for them."""
+    whole = replaced(col, [*COMPOSED, *((unicodedata.normalize("NFC", d[:-1]) + d[-1], c) for d, c in COMPOSED if len(d) > 2)])
+    return F.when(col.rlike("[\u0300-\u036f]"), whole).otherwise(col)
+
+
 def latin_to_ascii(col: Column) -> Column:
+    col = composed(col)
     for a, b in t.LATIN_TO_ASCII:
         if a[0] == "^" or a[-1] == "+":
             before = rf"(?<!{LETTER})" if a[0] == "^" else ""

@@ -36,13 +36,15 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 
 def prefix_join(queries: DataFrame, heads: DataFrame) -> DataFrame:
-    """(query, head, lcp, score) of heads that share a prefix of three letters or more, and all but four of the head's."""
-    k = lambda c: F.left(F.col(c), F.lit(3))
-    pairs = queries.where(F.char_length("query") >= 3).withColumn("_k", k("query")).join(heads.where(F.char_length("head") >= 3).withColumn("_k", k("head")), "_k")
-    n = common_prefix(F.col("query"), F.col("head"))
-    scored = pairs.withColumn("lcp", n).where(F.col("lcp") >= F.greatest(F.lit(3), F.char_length("head") - 4))
-    apart = F.abs(F.char_length("query") - F.char_length("head"))
-    return scored.withColumn("score", 2 * F.col("lcp") - 0.5 * apart + F.when(F.col("lcp") == F.char_length("head"), 3).otherwise(0)).drop("_k")
+    """(query, head, lcp, score) of heads that share a prefix of three letters or more, and all but four of the head's.
+
+    A head meets the queries at the at most five prefixes that may be shared, by equality, so that a common beginning makes no pairs by itself."""
+    n = F.char_length("head")
+    short = heads.where(n >= 3).select("head", F.explode(F.sequence(F.greatest(F.lit(3), n - 4), n)).alias("lcp")).select("head", "lcp", F.expr("left(head, lcp)").alias("_k"))
+    cut = queries.where(F.char_length("query") >= 3).select("query", F.explode(F.sequence(F.lit(3), F.char_length("query"))).alias("_n")).select("query", F.expr("left(query, _n)").alias("_k"))
+    scored = cut.join(short, "_k").groupBy("query", "head").agg(F.max("lcp").alias("lcp"))
+    apart = F.abs(F.char_length("query") - n)
+    return scored.withColumn("score", 2 * F.col("lcp") - 0.5 * apart + F.when(F.col("lcp") == n, 3).otherwise(0))
 
 
 def verb_join(queries: DataFrame, heads: DataFrame, ending: str, suffixes: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glyphflow import tables as t
-from glyphflow.functions import letters, tokens
+from glyphflow.functions import letters, scripts, tokens
 from glyphflow.operators import convert, fixer, language, lexicon, lm, models, reader
 from glyphflow.plans import sql as s
 from glyphflow.plans.catalog import FREQ_LANG_SQL, FREQ_SQL, WORDS_SQL, local, query, read
@@ -82,7 +82,7 @@ query("a12_lm_counts", LM_SQL)(lambda spark, d: lexicon.lm_counts(freq(spark, d)
 @query("a13_lm_logp")
 def a13(spark, d):
     f = freq(spark, d)
-    return lm.log_probability(f.where(F.col("freq") >= 20), lexicon.lm_counts(f), 40).withColumn("logp", F.round("logp", 6))
+    return lm.log_probability(f, lexicon.lm_counts(f), 40).withColumn("logp", F.round("logp", 6))
 
 
 SWEEP_SQL = f"""WITH m AS ({LLR_SQL}), w AS (SELECT lang, word FROM ({FREQ_LANG_SQL}) WHERE lang IN ('en', 'fr')),
@@ -169,13 +169,13 @@ query("j05_prefix_semi", f"SELECT DISTINCT f.word AS typed FROM ({FREQ_SQL}) f J
 )
 
 
-@query("j06_skeleton_candidates", f"""WITH f AS ({FREQ_SQL}) SELECT a.word AS typed, b.word, b.freq FROM f a JOIN f b ON {SKELETON.format('a.word')} = {SKELETON.format('b.word')}
-    AND a.word <> b.word AND regexp_matches(a.word, '^' || array_to_string(list_transform(string_split(b.word, ''), lambda c: CASE c {' '.join(f"WHEN '{a}' THEN '(?:{'|'.join((a, *b))})'" for a, b in t.LATIN_SUBSTITUTIONS.items())} ELSE c END), '') || '$')""")
+@query("j06_skeleton_candidates", f"""WITH f AS MATERIALIZED (SELECT word, freq, {SKELETON.format('word')} AS k FROM ({FREQ_SQL}))
+  SELECT a.word AS typed, b.word, b.freq FROM f a JOIN f b USING (k) WHERE a.word <> b.word
+    AND len(list_filter(range(1, length(k) + 1), lambda i: substr(a.word, i, 1) NOT IN (substr(b.word, i, 1), substr(k, i, 1)))) = 0""")
 def j06(spark, d):
-    f = freq(spark, d)
-    typed = f.select(F.col("word").alias("typed"), latin_skeleton(F.col("word")).alias("k"))
-    right = f.where(F.col("word").rlike(f"[{''.join(t.LATIN_SUBSTITUTIONS)}]")).select("word", "freq", latin_skeleton(F.col("word")).alias("k"))
-    return typed.join(right, "k").where((F.col("typed") != F.col("word")) & F.rlike("typed", letters.typed_as(F.col("word"), t.LATIN_SUBSTITUTIONS))).select("typed", "word", "freq")
+    f = freq(spark, d).withColumn("k", latin_skeleton(F.col("word")))
+    right = f.where(F.col("word") != F.col("k"))  # only a word with special letters can be typed in another way
+    return f.select(F.col("word").alias("typed"), "k").join(right, "k").where((F.col("typed") != F.col("word")) & letters.plainer(F.col("typed"), F.col("word"), F.col("k"))).select("typed", "word", "freq")
 
 
 query("j14_noise_words", f"WITH f AS (SELECT word, freq, {SKELETON.format('word')} AS k FROM ({FREQ_SQL})) SELECT word, freq, best FROM f JOIN (SELECT k, max(freq) AS best FROM f GROUP BY k) USING (k) WHERE best >= 5 * freq")(
@@ -189,10 +189,10 @@ query("j16_zip_join", r"SELECT doc_id, count(*) AS n, count(*) FILTER (a = b) AS
     lambda spark, d: docs(spark, d).select("doc_id", F.split("text", " ", -1).alias("a"), F.split(F.lower("text"), " ", -1).alias("b")).where(F.size("a") == F.size("b"))
     .select("doc_id", F.size("a").cast("long").alias("n"), F.size(F.filter(F.arrays_zip("a", "b"), lambda z: z["a"] == z["b"])).cast("long").alias("same"))
 )
-query("j12_prefix_join", f"""WITH q AS (SELECT word AS query FROM {LEX_SQL} WHERE length(word) BETWEEN 3 AND 6), h AS (SELECT word AS head FROM {LEX_SQL} WHERE length(word) BETWEEN 3 AND 9),
+query("j12_prefix_join", f"""WITH q AS (SELECT word AS query FROM {LEX_SQL} WHERE length(word) >= 3), h AS (SELECT word AS head FROM {LEX_SQL} WHERE length(word) >= 3),
     p AS (SELECT query, head, CASE WHEN query = head THEN length(head) ELSE coalesce(list_min(list_filter(range(1, least(length(query), length(head)) + 1), lambda i: substr(query, i, 1) <> substr(head, i, 1))) - 1, least(length(query), length(head))) END AS lcp FROM q JOIN h ON left(query, 3) = left(head, 3))
     SELECT query, head, lcp::INTEGER AS lcp, 2 * lcp - 0.5::DOUBLE * abs(length(query) - length(head)) + CASE WHEN lcp = length(head) THEN 3 ELSE 0 END AS score FROM p WHERE lcp >= greatest(3, length(head) - 4)""")(
-    lambda spark, d: reader.prefix_join(lex(spark, d).where("char_length(word) BETWEEN 3 AND 6").select(F.col("word").alias("query")), lex(spark, d).where("char_length(word) BETWEEN 3 AND 9").select(F.col("word").alias("head")))
+    lambda spark, d: reader.prefix_join(lex(spark, d).select(F.col("word").alias("query")), lex(spark, d).select(F.col("word").alias("head")))
 )
 query("j13_verb_join", f"SELECT f.word AS query, h.word AS head, left(h.word, length(h.word) - 2) AS stem, substr(f.word, length(h.word) - 1) AS rest FROM ({FREQ_SQL}) f JOIN {LEX_SQL} h ON right(h.word, 2) = 'er' AND length(h.word) > 3 AND starts_with(f.word, left(h.word, length(h.word) - 2)) AND regexp_matches(substr(f.word, length(h.word) - 1), '^(?:ed|ing|es|ly)$')")(
     lambda spark, d: reader.verb_join(freq(spark, d).select(F.col("word").alias("query")), lex(spark, d).select(F.col("word").alias("head")), "er", "ed|ing|es|ly")
@@ -237,8 +237,8 @@ def _uncertain(spark, d):
 query("a33_source_counters", f"SELECT lang, CASE WHEN l.word IS NULL THEN 'model' ELSE 'dict' END AS source, sum(f.freq)::BIGINT AS n FROM ({FREQ_LANG_SQL}) f LEFT JOIN {LEX_SQL} l USING (word) GROUP BY 1, 2")(
     lambda spark, d: by_lang(spark, d).join(lex(spark, d).select("word", F.lit("dict").alias("s")), "word", "left").groupBy("lang", F.coalesce("s", F.lit("model")).alias("source")).agg(F.sum("freq").alias("n"))
 )
-query("m13_add_words", f"SELECT coalesce(o.word, n.word) AS word, coalesce(n.freq, o.freq) AS freq, CASE WHEN o.word IS NULL THEN '+' WHEN n.word IS NULL OR o.freq = n.freq THEN '=' ELSE '~' END AS status FROM (SELECT word, freq FROM {LEX_SQL}) o FULL JOIN (SELECT word, freq + length(word) % 2 AS freq FROM ({FREQ_SQL}) WHERE freq BETWEEN 8 AND 12) n ON o.word = n.word")(
-    lambda spark, d: _add_words(lex(spark, d), freq(spark, d).where("freq BETWEEN 8 AND 12").select("word", (F.col("freq") + F.char_length("word") % 2).alias("new")))
+query("m13_add_words", f"SELECT coalesce(o.word, n.word) AS word, coalesce(n.freq, o.freq) AS freq, CASE WHEN o.word IS NULL THEN '+' WHEN n.word IS NULL OR o.freq = n.freq THEN '=' ELSE '~' END AS status FROM (SELECT word, freq FROM {LEX_SQL}) o FULL JOIN (SELECT word, freq + length(word) % 2 AS freq FROM ({FREQ_SQL})) n ON o.word = n.word")(
+    lambda spark, d: _add_words(lex(spark, d), freq(spark, d).select("word", (F.col("freq") + F.char_length("word") % 2).alias("new")))
 )
 
 
@@ -251,8 +251,10 @@ for name, how, text in (("o04_union", "union", "UNION"), ("o05_difference", "exc
     query(name, f"SELECT word FROM ({FREQ_LANG_SQL}) WHERE lang = 'en' {text} SELECT word FROM ({FREQ_LANG_SQL}) WHERE lang = 'fr'")(
         lambda spark, d, how=how: (lambda a, b: a.union(b).distinct() if how == "union" else getattr(a, how)(b))(*[by_lang(spark, d).where(F.col("lang") == x).select("word") for x in ("en", "fr")])
     )
-query("o07_ordered_distinct", r"SELECT doc_id, array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda z: list_position(w, z[1]) = z[2]), lambda z: z[1]), ' ') AS words FROM (SELECT doc_id, regexp_extract_all(lower(left(text, 400)), '\p{L}+') AS w FROM documents)")(
-    lambda spark, d: docs(spark, d).select("doc_id", F.array_join(F.array_distinct(tokens.words(F.lower(F.left("text", F.lit(400))), r"\p{L}+")), " ").alias("words"))
+query("o07_ordered_distinct", r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents), e AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+  f AS (SELECT doc_id, word, min(i) AS i FROM e GROUP BY ALL), g AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS words FROM f GROUP BY doc_id)
+  SELECT doc_id, coalesce(words, '') AS words FROM w LEFT JOIN g USING (doc_id)""")(
+    lambda spark, d: docs(spark, d).select("doc_id", F.array_join(F.array_distinct(tokens.words(F.lower("text"), r"\p{L}+")), " ").alias("words"))
 )
 
 # --- letter fixing and language, over fixtures ---------------------------------------------------------------------------------------------
@@ -290,12 +292,21 @@ def a18(spark, d):
 
 @query("m06_broken_words")
 def m06(spark, d):
-    freqs = local(spark, [("ged", 5), ("gedeq", 2881), ("ü", 4), ("dü", 9057), ("örgöǰi", 173), ("kü", 2), ("örgöǰikü", 2), ("erdeni", 183)], "word string, freq long")
-    rows = local(spark, [("örgöǰi\u202fkü ged\u202feq",), ("erdeni\u202fdü ged eq",), ("baqta\u202f:qsan",)], "text string")
-    return lm.join_broken_words(rows, "text", freqs)
+    """Every document in Todo letters with narrow gaps inside words, against the frequencies of the transliterated words."""
+    broken = scripts.replaced(F.col("text"), (("in", "i\u202fn"), ("the", "t\u202fhe"), ("an", "a\u202f\u202fn")))
+    texts = docs(spark, d).select("doc_id", scripts.translit_to_todo(broken).alias("text"))
+    whole = docs(spark, d).select("doc_id", scripts.todo_to_translit(scripts.translit_to_todo(F.col("text"))).alias("text"))
+    return lm.join_broken_words(texts, "text", lexicon.frequencies(whole), script="todo").select("doc_id", "joined")
+
+
+WORD_AT_SQL = r"SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents)"
 
 
-@query("j09_phrases")
+@query("j09_phrases", f"""WITH RECURSIVE e AS ({WORD_AT_SQL}), n AS (SELECT *, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+  s AS MATERIALIZED (SELECT doc_id, i, CASE WHEN w = 'and' AND w2 = 'the' AND w3 = 'of' THEN 3 WHEN w IN ('of', 'in') AND w2 = 'the' THEN 2 ELSE 1 END AS k, w, w2, w3 FROM n),
+  r AS (SELECT doc_id, i, k, concat_ws(' ', w, CASE WHEN k > 1 THEN w2 END, CASE WHEN k > 2 THEN w3 END) AS phrase FROM s WHERE i = 1 UNION ALL
+        SELECT s.doc_id, s.i, s.k, concat_ws(' ', s.w, CASE WHEN s.k > 1 THEN s.w2 END, CASE WHEN s.k > 2 THEN s.w3 END) FROM r JOIN s ON s.doc_id = r.doc_id AND s.i = r.i + r.k)
+  SELECT d.doc_id, coalesce(string_agg(phrase, '|' ORDER BY i), '') AS phrases FROM documents d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id""")
 def j09(spark, d):
     known = F.array(*map(F.lit, ("of the", "in the", "the", "and the of")))
     return docs(spark, d).select("doc_id", F.array_join(reader.phrases(tokens.words(F.lower("text"), r"\p{L}+"), known, 12), "|").alias("phrases"))
@@ -317,7 +328,15 @@ def j08(spark, d):
     return toks.join(found, "word").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("targets") > 1).alias("several"))
 
 
-@query("m05_convert")
+GAP_WORD = r"[\p{L}\p{M}\x{180B}-\x{180F}\x{200C}\x{200D}]+"
+
+
+@query("m05_convert", f"""WITH RECURSIVE p AS (SELECT doc_id, string_split(regexp_replace(text, '({GAP_WORD})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS p FROM documents),
+  e AS (SELECT doc_id, i, p[2 * i] AS w, p[2 * i + 1] AS gap, p[2 * i + 2] AS w2, p[2 * i + 3] AS gap2 FROM (SELECT doc_id, p, unnest(range(1, (len(p) - 1) // 2 + 1)) AS i FROM p)),
+  s AS MATERIALIZED (SELECT doc_id, i, CASE WHEN w = 'of' AND gap = ' ' AND w2 = 'the' THEN 2 ELSE 1 END AS k, w, gap, gap2 FROM e),
+  t AS MATERIALIZED (SELECT doc_id, i, k, CASE WHEN k = 2 THEN 'OF-THE' || gap2 WHEN w = 'of' THEN 'OF' || gap WHEN w = 'in' THEN 'IN' || gap WHEN w = 'and' THEN 'ALSO' || gap ELSE w || gap END AS said, (w IN ('of', 'in', 'and'))::INTEGER AS hit FROM s),
+  r AS (SELECT * FROM t WHERE i = 1 UNION ALL SELECT t.* FROM r JOIN t ON t.doc_id = r.doc_id AND t.i = r.i + r.k)
+  SELECT p.doc_id AS id, any_value(p.p[1]) || coalesce(string_agg(said, '' ORDER BY i), '') AS text, any_value((len(p.p) - 1) // 2)::INTEGER AS n_words, coalesce(sum(hit), 0)::INTEGER AS n_found FROM p LEFT JOIN r USING (doc_id) GROUP BY p.doc_id""")
 def m05(spark, d):
     return convert.convert(docs(spark, d), local(spark, PAIRS, "source string, target string"), id_col="doc_id")
 
@@ -327,7 +346,10 @@ def t28(spark, d):
     return docs(spark, d).select("doc_id", convert.fit_charset(F.col("text"), "abcdefghijklmnopqrstuvwxyz ", {"é": "e"}).alias("text"))
 
 
-@query("a31_wrap")
+@query("a31_wrap", f"""WITH RECURSIVE e AS MATERIALIZED (SELECT doc_id, w, i, length(w) + length(w) - length(translate(w, 'mw', '')) AS n FROM ({WORD_AT_SQL})),
+  r AS (SELECT doc_id, i, w, n AS size, 0 AS line FROM e WHERE i = 1 UNION ALL
+        SELECT e.doc_id, e.i, e.w, CASE WHEN r.size + 1 + e.n <= 40 THEN r.size + 1 + e.n ELSE e.n END, CASE WHEN r.size + 1 + e.n <= 40 THEN r.line ELSE r.line + 1 END FROM r JOIN e ON e.doc_id = r.doc_id AND e.i = r.i + 1)
+  SELECT doc_id, line::INTEGER AS line, string_agg(w, ' ' ORDER BY i) AS text FROM r GROUP BY doc_id, line""")
 def a31(spark, d):
     words = tokens.words(F.lower("text"), r"\p{L}+")
     return docs(spark, d).select("doc_id", F.posexplode(convert.wrap(words, 40, {"m": 2, "w": 2, "i": 1}, 1)).alias("line", "text"))

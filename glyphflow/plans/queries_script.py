@@ -97,22 +97,32 @@ def p07(spark, d):
     return rows.groupBy("lang", tokens.length_bucket(F.size("w")).alias("bucket")).agg(F.count(F.lit(1)).alias("sentences"), F.sum(special).alias("special"), F.sum(F.size("w")).alias("tokens"))
 
 
-CYRILLIC_WORDS = ["бяядл", "ээҗ", "тёвкнюн", "келнят", "йовҗ", "йалгач", "юн", "хальмг", "маңһдур", "соляд", "кэлн", "сар", "яяр", "бəр", "hалун", "kүн", "дугарна", "гергтявт", "эцк-эк"]
-CYR_SQL = s.values([(w,) for w in CYRILLIC_WORDS], "word")
+#: Stand-in for Cyrillic text: every document's letters in that alphabet, some pairs as its special letters.
+CYRILLIC_PAIRS = (("th", "ә"), ("in", "ң"), ("er", "ү"), ("on", "һ"), ("an", "ө"), ("re", "җ"), ("ed", "я"), ("sh", "ё"), ("ti", "ю"), ("nd", "дж"), ("st", "нг"))
+CYRILLIC_FROM, CYRILLIC_TO = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопщрстувшжыз"
+SPELT = "[а-яёәөүһҗң]+"
+CYR_TEXT_SQL = s.tr(s.chain("lower(text)", CYRILLIC_PAIRS), CYRILLIC_FROM, CYRILLIC_TO)
+CYR_SQL = f"(SELECT DISTINCT unnest(regexp_extract_all({CYR_TEXT_SQL}, '{SPELT}')) AS word FROM documents)"
 
 
-def cyrillic(spark):
-    return local(spark, [(w,) for w in CYRILLIC_WORDS], "word string")
+def cyrillic_text(column: str = "text"):
+    return F.translate(scripts.replaced(F.lower(column), CYRILLIC_PAIRS), CYRILLIC_FROM, CYRILLIC_TO)
+
+
+def cyrillic(spark, d):
+    """Distinct words of the documents in Cyrillic letters."""
+    return docs(spark, d).select(F.explode(tokens.words(cyrillic_text(), SPELT)).alias("word")).distinct()
 
 
 @query("p08_hard_oov", f"SELECT word, regexp_matches(word, 'ё|яя|юю|^й[ау]|[^-э]э|[{tokens.CONSONANTS}][яю]') AS hard, regexp_matches(word, 'ё|яя|юю|[^-э]э') AS never FROM {CYR_SQL}")
 def p08(spark, d):
-    return cyrillic(spark).select("word", F.col("word").rlike(tokens.HARD).alias("hard"), F.col("word").rlike(tokens.NEVER).alias("never"))
+    return cyrillic(spark, d).select("word", F.col("word").rlike(tokens.HARD).alias("hard"), F.col("word").rlike(tokens.NEVER).alias("never"))
 
 
-@query("p10_foreign_token", f"SELECT word, regexp_matches(word, '[{t.CYRILLIC}]') AND regexp_matches(word, '[a-zA-Z{t.LOOKALIKE_FROM}]') AS foreign_letters FROM {CYR_SQL}")
+@query("p10_foreign_token", f"SELECT word, regexp_matches(word, '[{t.CYRILLIC}]') AND regexp_matches(word, '[a-zA-Z{t.LOOKALIKE_FROM}]') AS foreign_letters FROM (SELECT replace(replace(word, 'һ', 'h'), 'үс', 'üs') AS word FROM {CYR_SQL})")
 def p10(spark, d):
-    return cyrillic(spark).select("word", tokens.foreign(F.col("word")).alias("foreign_letters"))
+    rows = cyrillic(spark, d).select(F.replace(F.replace("word", F.lit("һ"), F.lit("h")), F.lit("үс"), F.lit("üs")).alias("word"))
+    return rows.select("word", tokens.foreign(F.col("word")).alias("foreign_letters"))
 
 
 @query("p11_sentence_start", r"""SELECT doc_id, pos::BIGINT AS pos, b = '' OR right(b, 1) IN ('.', '!', '?', '…', chr(10)) AS starts FROM (SELECT doc_id, pos, regexp_replace(substr(text, 1, pos), '[\s"''«»„“”(]+$', '') AS b FROM (SELECT doc_id, text, unnest([0, 7, 20, 41, 80]) AS pos FROM documents))""")
@@ -121,10 +131,14 @@ def p11(spark, d):
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), tokens.sentence_start(F.col("text"), F.col("pos")).alias("starts"))
 
 
-@query("p12_hyphen_parts", "SELECT word, list_bool_and(list_transform(string_split(word, '-'), lambda p: p IN ('эк', 'келн') OR (length(p) > 2 AND p NOT IN ('ән', 'дан')))) AS ok FROM " + s.values([("келн-мелн",), ("эк-эцк",), ("һазр-ән",), ("ик",), ("эк",), ("көвүн-күүкн",)], "word"))
+HYPHENED_SQL = f"(SELECT word || '-' || CASE WHEN length(word) % 3 = 0 THEN left(word, 2) ELSE reverse(word) END AS word FROM {CYR_SQL})"
+
+
+@query("p12_hyphen_parts", f"SELECT word, list_bool_and(list_transform(string_split(word, '-'), lambda p: p IN ('ар', 'еле') OR (length(p) > 2 AND p NOT IN ('әен', 'һел')))) AS ok FROM {HYPHENED_SQL}")
 def p12(spark, d):
-    rows = local(spark, [("келн-мелн",), ("эк-эцк",), ("һазр-ән",), ("ик",), ("эк",), ("көвүн-күүкн",)], "word string")
-    return rows.select("word", tokens.hyphen_parts_ok(F.col("word"), F.array(F.lit("эк"), F.lit("келн")), ("ән", "дан")).alias("ok"))
+    other = F.when(F.char_length("word") % 3 == 0, F.left("word", F.lit(2))).otherwise(F.reverse("word"))
+    rows = cyrillic(spark, d).select(F.concat_ws("-", "word", other).alias("word"))
+    return rows.select("word", tokens.hyphen_parts_ok(F.col("word"), F.array(F.lit("ар"), F.lit("еле")), ("әен", "һел")).alias("ok"))
 
 
 @query("p13_settings_domain", "SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'off' END AS setting FROM events")
@@ -150,6 +164,8 @@ def p16(spark, d):
 # --- script transforms --------------------------------------------------------------------------------------------------------------
 _text("t02_dashes", lambda c: scripts.dashes(F.replace(F.replace(c, F.lit(", "), F.lit(" – ")), F.lit(". "), F.lit(" - "))), s.dashes("replace(replace(text, ', ', ' – '), '. ', ' - ')"))
 _text("t03_t04_translit_to_todo", scripts.translit_to_todo, s.to_todo("text"))
+APART = (("o", "o\u0308"), ("u", "u\u0308\u0304"), ("ti", "j\u030ci"), ("sh", "s\u030c"), ("a", "a\u0304"))
+_text("t03_letters_with_marks", lambda c: scripts.translit_to_todo(scripts.replaced(c, APART)), s.to_todo(f"nfc_normalize({s.chain('text', APART)})"))
 _todo("t05_t07_todo_to_translit", scripts.todo_to_translit, s.to_translit)
 _todo("t08_normalize_j", scripts.normalize_j, s.normalize_j)
 _todo("t09_normalize_yi", scripts.normalize_yi, s.normalize_yi)
@@ -160,19 +176,25 @@ _todo(
     "t15_punctuation_all", lambda c: scripts.punctuation(c, "all"), lambda x: f"replace({s.framed(x)}, {s.q(t.SOURCE_STOP)}, {s.q(t.FULL_STOP)})",
     lambda x: f"replace({s.lines(x, lambda l: f'trim({l}, chr(32))')}, {s.q(t.SOURCE_COMMA)}, {s.q(t.COMMA)})",
 )
-query("t11_t12_normalize_ocr")(lambda spark, d: docs(spark, d).select("doc_id", scripts.normalize_ocr(scripts.translit_to_todo(F.col("text"))).alias("text")))
+_PUT = lambda vowel: f"regexp_replace(w, '([ᡋᡌ][\\x{{180B}}-\\x{{180F}}]?)[ᡆᡉ]', '\\1{vowel}', 'g')"
+_OTHER = "regexp_replace(w, '([ᡋᡌ][\\x{180B}-\\x{180F}]?)[ᡆᡉ]', '\\1', 'g')"
+_SIZE = lambda letters: f"(length({_OTHER}) - length(translate({_OTHER}, '{letters}', '')))"
+ROUND_SQL = f"""array_to_string(list_transform(string_split(regexp_replace(x, '([\\x{{180B}}-\\x{{180F}}\\x{{1820}}-\\x{{18AA}}]+)', chr(1) || '\\1' || chr(1), 'g'), chr(1)),
+  lambda w: CASE WHEN {_SIZE('ᠠᡆᡇ')} > {_SIZE('ᡄᡈᡉ')} THEN {_PUT('ᡆ')} WHEN {_SIZE('ᠠᡆᡇ')} < {_SIZE('ᡄᡈᡉ')} THEN {_PUT('ᡉ')} ELSE w END), '')"""
+query("t11_t12_normalize_ocr", f"""WITH a AS MATERIALIZED (SELECT doc_id, {s.to_todo('text')} AS x FROM documents), b AS MATERIALIZED (SELECT doc_id, {s.normalize_j('x')} AS x FROM a), c AS MATERIALIZED (SELECT doc_id, {s.fix_misreads('x')} AS x FROM b),
+  r AS MATERIALIZED (SELECT doc_id, {ROUND_SQL} AS x FROM c) SELECT doc_id, {s.normalize_yi('x')} AS text FROM r""")(
+    lambda spark, d: docs(spark, d).select("doc_id", scripts.normalize_ocr(scripts.translit_to_todo(F.col("text"))).alias("text"))
+)
 
 _text("t01_nfc", letters.nfc, "nfc_normalize(text)")
-MIXED = [("Хальмгаhар келнят",), ("hалун ger",), ("kүн болн бəр",), ("plain latin",), ("Увлэс эрул менд hарвт",)]
+MIXED_SQL = f"(SELECT doc_id, replace(replace({CYR_TEXT_SQL}, 'һ', 'h'), 'ки', 'kи') AS text FROM documents)"
 
 
-@query("t16_lookalikes", f"""SELECT text, array_to_string(list_transform(string_split(regexp_replace(text, '([\\p{{L}}\\p{{N}}_''-]+)', chr(1) || '\\1' || chr(1), 'g'), chr(1)),
-  lambda w: CASE WHEN regexp_matches(w, '[{t.CYRILLIC}]') AND regexp_matches(w, '[a-zA-Z{t.LOOKALIKE_FROM}]') THEN translate(w, '{t.LOOKALIKE_FROM + t.TWINS_FROM}', '{t.LOOKALIKE_TO + t.TWINS_TO}') ELSE w END), '') AS fixed FROM {s.values(MIXED, 'text')}""")
+@query("t16_lookalikes", f"""SELECT doc_id, array_to_string(list_transform(string_split(regexp_replace(text, '([\\p{{L}}\\p{{N}}_''-]+)', chr(1) || '\\1' || chr(1), 'g'), chr(1)),
+  lambda w: CASE WHEN regexp_matches(w, '[{t.CYRILLIC}]') AND regexp_matches(w, '[a-zA-Z{t.LOOKALIKE_FROM}]') THEN translate(w, '{t.LOOKALIKE_FROM + t.TWINS_FROM}', '{t.LOOKALIKE_TO + t.TWINS_TO}') ELSE w END), '') AS fixed FROM {MIXED_SQL}""")
 def t16(spark, d):
-    return local(spark, MIXED, "text string").select("text", tokens.normalize_lookalikes(F.col("text")).alias("fixed"))
-
-
-RUSSIAN = [("привет",), ("джамал",), ("моя семья",), ("ещё",), ("юность",), ("москва",), ("объект",), ("цапля",)]
+    rows = docs(spark, d).select("doc_id", F.replace(F.replace(cyrillic_text(), F.lit("һ"), F.lit("h")), F.lit("ки"), F.lit("kи")).alias("text"))
+    return rows.select("doc_id", tokens.normalize_lookalikes(F.col("text")).alias("fixed"))
 
 
 def _russian_sql(x: str) -> str:
@@ -184,9 +206,9 @@ def _russian_sql(x: str) -> str:
     return s.tr(f"replace(replace(replace({x}, 'ц', 'ts'), 'ъ', ''), 'ь', '')", t.RUSSIAN_FROM, t.RUSSIAN_TO)
 
 
-@query("t17_rule_reading", f"SELECT text, {_russian_sql('text')} AS translit FROM {s.values(RUSSIAN, 'text')}")
+@query("t17_rule_reading", f"SELECT doc_id, {_russian_sql('text')} AS translit FROM (SELECT doc_id, {CYR_TEXT_SQL} AS text FROM documents)")
 def t17(spark, d):
-    return local(spark, RUSSIAN, "text string").select("text", scripts.russian_to_translit(F.col("text")).alias("translit"))
+    return docs(spark, d).select("doc_id", cyrillic_text().alias("text")).select("doc_id", scripts.russian_to_translit(F.col("text")).alias("translit"))
 
 
 @query("t18_case_restore", r"SELECT doc_id, word, CASE WHEN length(word) > 1 AND upper(word) = word AND lower(word) <> word THEN upper(m) WHEN left(word, 1) = upper(left(word, 1)) AND lower(left(word, 1)) <> upper(left(word, 1)) THEN upper(left(m, 1)) || substr(m, 2) ELSE m END AS cased FROM (SELECT doc_id, word, replace(lower(word), 'e', 'ee') AS m FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\p{L}+'))) AS word FROM documents))")
@@ -200,20 +222,17 @@ SKELETON_SQL = f"translate({{0}}, '{t.SKELETON_FROM}', '{t.SKELETON_TO}')"
 
 @query("t19_skeleton", f"SELECT word, {SKELETON_SQL.format('word')} AS skeleton FROM {CYR_SQL}")
 def t19(spark, d):
-    return cyrillic(spark).select("word", letters.skeleton(F.col("word")).alias("skeleton"))
+    return cyrillic(spark, d).select("word", letters.skeleton(F.col("word")).alias("skeleton"))
 
 
-KEYED = [("наадж",), ("джангар",), ("тангч",), ("дженг",), ("сар",)]
-
-
-@query("t20_query_keys", f"SELECT DISTINCT word, {SKELETON_SQL.format('unnest([word, replace(word, chr(1076) || chr(1078), chr(1078)), replace(word, chr(1085) || chr(1075), chr(1085)), replace(replace(word, chr(1076) || chr(1078), chr(1078)), chr(1085) || chr(1075), chr(1085))])')} AS key FROM {s.values(KEYED, 'word')}")
+@query("t20_query_keys", f"SELECT DISTINCT word, {SKELETON_SQL.format('unnest([word, replace(word, chr(1076) || chr(1078), chr(1078)), replace(word, chr(1085) || chr(1075), chr(1085)), replace(replace(word, chr(1076) || chr(1078), chr(1078)), chr(1085) || chr(1075), chr(1085))])')} AS key FROM {CYR_SQL}")
 def t20(spark, d):
-    return local(spark, KEYED, "word string").select("word", F.explode(letters.query_keys(F.col("word"))).alias("key"))
+    return cyrillic(spark, d).select("word", F.explode(letters.query_keys(F.col("word"))).alias("key"))
 
 
 @query("t21_vowel_row", f"SELECT word, CASE WHEN b AND f THEN 'm' WHEN b THEN 'b' WHEN f THEN 'f' ELSE 'n' END AS vowels FROM (SELECT word, regexp_matches(word, '[аоуыяюё]') AS b, regexp_matches(word, '[әөүеэ]') AS f FROM {CYR_SQL})")
 def t21(spark, d):
-    return cyrillic(spark).select("word", letters.vowel_row(F.col("word")).alias("vowels"))
+    return cyrillic(spark, d).select("word", letters.vowel_row(F.col("word")).alias("vowels"))
 
 
 def _degraded_sql(x: str, style: int) -> str:
@@ -250,7 +269,7 @@ def t31(spark, d):
     return docs(spark, d).select("doc_id", F.array_join(scripts.drop_birga(columns), "\n").alias("text"))
 
 
-query("t33_capitalise")(lambda spark, d: docs(spark, d).select("doc_id", scripts.capitalise(scripts.tidy_spaces(F.lower("text"))).alias("text")))
+query("t33_capitalise", r"SELECT doc_id, array_to_string(list_transform(string_split(regexp_replace(regexp_replace(lower(text), '\s+([,.!?])', '\1', 'g'), '([.!?]\s*)', '\1' || chr(1), 'g'), chr(1)), lambda p: upper(left(p, 1)) || substr(p, 2)), '') AS text FROM documents")(lambda spark, d: docs(spark, d).select("doc_id", scripts.capitalise(scripts.tidy_spaces(F.lower("text"))).alias("text")))
 
 
 @query("t34_token_diff", r"SELECT doc_id, count(*) AS n, min(a) AS first_a, max(b) AS last_b FROM (SELECT doc_id, unnest(string_split_regex(text, '\s+')) AS a, unnest(string_split_regex(replace(text, 'th', 'TH'), '\s+')) AS b FROM documents) WHERE a <> b GROUP BY doc_id")
@@ -259,20 +278,32 @@ def t34(spark, d):
     return pairs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("p.a").alias("first_a"), F.max("p.b").alias("last_b"))
 
 
-@query("t35_levenshtein", "SELECT doc_id, levenshtein(left(t, 60), left(lower(t), 55))::BIGINT AS distance FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM documents)")
+@query("t35_levenshtein", r"SELECT word, levenshtein(word, reverse(word))::BIGINT AS distance FROM (SELECT DISTINCT regexp_replace(unnest(regexp_extract_all(lower(text), '\p{L}+')), '[^ -~]', '', 'g') AS word FROM documents)")
 def t35(spark, d):
-    rows = docs(spark, d).select("doc_id", F.regexp_replace("text", "[^ -~]", "").alias("t"))  # the other engine counts bytes
-    return rows.select("doc_id", F.levenshtein(F.left("t", F.lit(60)), F.left(F.lower("t"), F.lit(55))).cast("long").alias("distance"))
+    rows = docs(spark, d).select(F.explode(tokens.words(F.lower("text"), r"\p{L}+")).alias("w")).select(F.regexp_replace("w", "[^ -~]", "").alias("word")).distinct()  # the other engine counts bytes
+    return rows.select("word", F.levenshtein("word", F.reverse("word")).cast("long").alias("distance"))
+
+
+def spelt_pairs(spark, d):
+    """Distinct words of the documents, each with what it is typed as."""
+    words = docs(spark, d).select(F.explode(tokens.words(F.lower("text"), r"\p{L}+")).alias("word")).distinct()
+    return words.select("word", F.replace(F.translate("word", "ei", "äy"), F.lit("th"), F.lit("t")).alias("typed"))
+
+
+query("t36_spelling_distance")(lambda spark, d: spelt_pairs(spark, d).select("word", "typed", letters.spelling_distance_udf("word", "typed").alias("distance")))
+query("p15_related_spelling")(lambda spark, d: spelt_pairs(spark, d).where(letters.related(F.col("word"), F.col("typed"))))
+query("t37_channel")(lambda spark, d: typed_pairs(spark, d).withColumn("c", letters.channel_udf("word", "typed")).select("word", "typed", "c.cost"))
+TYPED = (("ә", "я"), ("ө", "о"), ("ү", "ю"), ("һ", "х"), ("җ", "дж"), ("ң", "н"), ("к", "ка"))
 
 
-query("t36_spelling_distance")(lambda spark, d: local(spark, [("xoišidu", "xoyišidu"), ("dalai", "dalay"), ("ger", "ger"), ("", "a")], "a string, b string").select("a", "b", letters.spelling_distance_udf("a", "b").alias("distance")))
-query("t37_channel")(lambda spark, d: local(spark, [("бәәдл", "бяядл"), ("келнәт", "келнят"), ("йовҗ", "йовдж"), ("күн", "кон")], "word string, typed string").withColumn("c", letters.channel_udf("word", "typed")).select("word", "typed", "c.cost"))
+def typed_pairs(spark, d):
+    """Words in Cyrillic letters and what they are typed as; one letter in a way that isn't usual."""
+    return cyrillic(spark, d).select("word", scripts.replaced(F.col("word"), TYPED).alias("typed"))
 
 
-@query("t38_can_degrade", "SELECT word, typed, regexp_matches(typed, '^' || " + "array_to_string(list_transform(string_split(word, ''), lambda c: " + "CASE c " + " ".join(f"WHEN '{a}' THEN '(?:{'|'.join((a, *b))})'" for a, b in t.SUBSTITUTIONS.items()) + " ELSE c END), '') || '$') AS can FROM " + s.values([("бәәдл", "бяядл"), ("келнәт", "келнят"), ("йовҗ", "йовдж"), ("күн", "кон"), ("һалун", "алун"), ("тангч", "таңһч")], "word, typed"))
+@query("t38_can_degrade", "SELECT word, typed, regexp_matches(typed, '^' || array_to_string(list_transform(string_split(word, ''), lambda c: CASE c " + " ".join(f"WHEN '{a}' THEN '(?:{'|'.join((a, *b))})'" for a, b in t.SUBSTITUTIONS.items()) + f" ELSE c END), '') || '$') AS can FROM (SELECT word, {s.chain('word', TYPED)} AS typed FROM {CYR_SQL})")
 def t38(spark, d):
-    rows = local(spark, [("бәәдл", "бяядл"), ("келнәт", "келнят"), ("йовҗ", "йовдж"), ("күн", "кон"), ("һалун", "алун"), ("тангч", "таңһч")], "word string, typed string")
-    return rows.select("word", "typed", F.rlike("typed", letters.typed_as(F.col("word"))).alias("can"))
+    return typed_pairs(spark, d).select("word", "typed", F.rlike("typed", letters.typed_as(F.col("word"))).alias("can"))
 
 
 @query("t39_plural", "SELECT k, CASE WHEN k % 10 = 1 AND k % 100 <> 11 THEN 'столбец' WHEN k % 10 BETWEEN 2 AND 4 AND NOT k % 100 BETWEEN 12 AND 14 THEN 'столбца' ELSE 'столбцов' END AS word, count(*) AS n FROM (SELECT event_id % 130 AS k FROM events) GROUP BY k, word")
@@ -294,12 +325,14 @@ def t41(spark, d):
     return e.select("event_id", scripts.resolve_colour(F.col("event_type"), bg, {"view": "#ff0000", "click": "#0000ff"}).alias("c")).select("event_id", "c.*")
 
 
-LINKS = [("c12",), ("c3_l4-2",), ("c3_l",), ("x1",), ("c_l1",)]
+LINK_SQL = "(SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'c' || user_id WHEN 1 THEN 'c' || user_id || '_l' || event_id || '-2' WHEN 2 THEN 'x' || event_id WHEN 3 THEN 'c_l' || event_id ELSE 'c' || user_id || '_l' END AS link FROM events)"
 
 
-@query("t42_deep_link", r"SELECT link, nullif(regexp_extract(link, '^c(\d+)(?:_l([\w-]+))?$', 1), '') AS chapter, nullif(replace(regexp_extract(link, '^c(\d+)(?:_l([\w-]+))?$', 2), '-', '.'), '') AS line FROM " + s.values(LINKS, "link"))
+@query("t42_deep_link", r"SELECT event_id, nullif(regexp_extract(link, '^c(\d+)(?:_l([\w-]+))?$', 1), '') AS chapter, nullif(replace(regexp_extract(link, '^c(\d+)(?:_l([\w-]+))?$', 2), '-', '.'), '') AS line FROM " + LINK_SQL)
 def t42(spark, d):
-    return local(spark, LINKS, "link string").select("link", scripts.deep_link(F.col("link")).alias("x")).select("link", F.col("x.chapter").cast("string").alias("chapter"), "x.line")
+    k, user, event = F.pmod("event_id", F.lit(5)), F.col("user_id").cast("string"), F.col("event_id").cast("string")
+    link = F.when(k == 0, F.concat(F.lit("c"), user)).when(k == 1, F.concat(F.lit("c"), user, F.lit("_l"), event, F.lit("-2"))).when(k == 2, F.concat(F.lit("x"), event)).when(k == 3, F.concat(F.lit("c_l"), event)).otherwise(F.concat(F.lit("c"), user, F.lit("_l")))
+    return read(spark, d, "events").select("event_id", scripts.deep_link(link).alias("x")).select("event_id", F.col("x.chapter").cast("string").alias("chapter"), "x.line")
 
 
 @query("t43_dictionary_clean", r"SELECT doc_id, trim(regexp_replace(regexp_replace(text || ' (see x)', '\s+', ' ', 'g'), '\s*\((see|см\.?) [^()]*\)$', ''), ' ') AS text FROM documents")
@@ -316,6 +349,6 @@ def m10(spark, d):
     return process(docs(spark, d), "todo").select("doc_id", "source_script", "error", "todo")
 
 
-@query("m11_inline", f"SELECT doc_id AS id, 'todo' AS kind, {s.to_todo('left(text, 500)')} AS text FROM documents")
+@query("m11_inline", f"SELECT doc_id AS id, 'todo' AS kind, {s.to_todo('text')} AS text FROM documents WHERE length(text) <= 1000")
 def m11(spark, d):
-    return inline_results(docs(spark, d).withColumn("text", F.left("text", F.lit(500))), "doc_id").drop("place")
+    return inline_results(docs(spark, d), "doc_id").drop("place")

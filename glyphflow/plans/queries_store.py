@@ -75,9 +75,9 @@ query("s09_letters_log", f"SELECT event_id, CASE WHEN {KD} % 5 = 0 THEN 'hard' E
 )
 
 # --- reader ------------------------------------------------------------------------------------------------------------------------------------
-query("j10_interval_join", "SELECT l_orderkey, l_linenumber, o_orderkey AS span FROM lineitem JOIN (SELECT o_orderkey, o_orderkey AS lo, o_orderkey + o_custkey % 6 AS hi FROM orders) o ON l_orderkey BETWEEN lo AND hi WHERE l_linenumber = 1")(
+query("j10_interval_join", "SELECT l_orderkey, l_linenumber, o_orderkey AS span FROM lineitem JOIN (SELECT o_orderkey, o_orderkey AS lo, o_orderkey + o_custkey % 6 AS hi FROM orders) o ON l_orderkey BETWEEN lo AND hi")(
     lambda spark, d: reader.interval_join(
-        read(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber"),
+        read(spark, d, "lineitem").select("l_orderkey", "l_linenumber"),
         read(spark, d, "orders").select(F.col("o_orderkey").alias("span"), F.col("o_orderkey").alias("lo"), (F.col("o_orderkey") + F.col("o_custkey") % 6).alias("hi")), "l_orderkey", "lo", "hi", 16,
     ).select("l_orderkey", "l_linenumber", "span")
 )
@@ -107,29 +107,61 @@ query("g06_runs", "SELECT user_id, min(p)::BIGINT AS start, count(*) AS length F
 )
 
 
-@query("g07_stacked_order")
+BOXES_SQL = "(SELECT l_orderkey AS page, l_partkey % 5 * 50 AS x, l_linenumber AS id, l_suppkey % 7 * 100 AS y0, l_suppkey % 7 * 100 + 20 + l_quantity::INTEGER * 12 AS y1 FROM lineitem)"
+
+
+@query("g07_stacked_order", f"""WITH t AS (SELECT *, y1 - y0 >= 0.9::DOUBLE * (max(y1) OVER p - min(y0) OVER p) AS tall FROM {BOXES_SQL} WINDOW p AS (PARTITION BY page)),
+  u AS (SELECT *, sum(CASE WHEN tall OR before THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY x, y0) AS run FROM (SELECT *, coalesce(lag(tall) OVER (PARTITION BY page ORDER BY x, y0), false) AS before FROM t)),
+  v AS (SELECT *, coalesce(y0 > max(y1) OVER (PARTITION BY page, run ORDER BY y0, x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS new FROM u),
+  w AS (SELECT *, sum(new::INTEGER) OVER (PARTITION BY page, run ORDER BY y0, x) AS block FROM v)
+  SELECT page, x, y0, y1, row_number() OVER (PARTITION BY page ORDER BY run, block, x, y0, y1) AS place FROM w""")
 def g07(spark, d):
-    boxes = [(1, 0, 0, 1000), (1, 50, 0, 400), (1, 50, 700, 1000), (1, 100, 0, 450), (1, 100, 680, 1000)]
-    return page.stacked_order(spark.createDataFrame(boxes, "page int, x int, y0 int, y1 int")).select("page", "x", "y0", "place")
+    boxes = read(spark, d, "lineitem").selectExpr("l_orderkey AS page", "l_partkey % 5 * 50 AS x", "l_suppkey % 7 * 100 AS y0", "l_suppkey % 7 * 100 + 20 + CAST(l_quantity AS INT) * 12 AS y1")
+    return page.stacked_order(boxes).select("page", "x", "y0", "y1", "place")
 
 
-query("g09_unreadable", "SELECT l_orderkey, l_linenumber FROM lineitem, (SELECT median(l_quantity) AS h, median(l_partkey % 50) AS w FROM lineitem WHERE l_linenumber = 1) WHERE l_linenumber = 2 AND 2 * l_quantity >= h AND l_quantity <= 2 * h AND l_partkey % 50 <= 2 * w")(
+query("g09_unreadable", "SELECT l_orderkey, l_linenumber FROM lineitem, (SELECT median(l_quantity) AS h, median(l_partkey % 50) AS w FROM lineitem WHERE l_linenumber % 2 = 1) WHERE l_linenumber % 2 = 0 AND 2 * l_quantity >= h AND l_quantity <= 2 * h AND l_partkey % 50 <= 2 * w")(
     lambda spark, d: page.unreadable(
-        *[read(spark, d, "lineitem").where(f"l_linenumber = {n}").select("l_orderkey", "l_linenumber", F.lit(0).alias("x0"), (F.col("l_partkey") % 50).alias("x1"), F.lit(0).alias("y0"), F.col("l_quantity").alias("y1")) for n in (1, 2)]
+        *[read(spark, d, "lineitem").where(f"l_linenumber % 2 = {n}").select("l_orderkey", "l_linenumber", F.lit(0).alias("x0"), (F.col("l_partkey") % 50).alias("x1"), F.lit(0).alias("y0"), F.col("l_quantity").alias("y1")) for n in (1, 0)]
     ).select("l_orderkey", "l_linenumber")
 )
 query("a32_junk", "SELECT user_id, median(v) < 0.8 AS junk FROM (SELECT user_id, round(value / (value + 5), 3) AS v FROM events) GROUP BY user_id")(
     lambda spark, d: read(spark, d, "events").groupBy("user_id").agg(F.collect_list(F.round(F.col("value") / (F.col("value") + 5), 3)).alias("p")).select("user_id", page.junk(F.col("p")).alias("junk"))
 )
-CTC_SQL = """WITH f AS (SELECT label AS page, vec_id, list_position(embedding[1:8], list_max(embedding[1:8])) - 1 AS k FROM embeddings),
+CTC_SQL = """WITH f AS (SELECT label AS page, vec_id, list_position(embedding, list_max(embedding)) - 1 AS k, 1 / list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)::DOUBLE))) AS p FROM embeddings),
   x AS (SELECT *, lag(k) OVER (PARTITION BY page ORDER BY vec_id) AS before FROM f)
-  SELECT page, string_agg(k::VARCHAR, ' ' ORDER BY vec_id) AS labels, count(*) AS n_labels FROM x WHERE k <> 0 AND (before IS NULL OR before <> k) GROUP BY page"""
-query("m07_ctc", CTC_SQL)(lambda spark, d: page.ctc_decode(read(spark, d, "embeddings").select(F.col("label").alias("page"), "vec_id", F.slice("embedding", 1, 8).alias("scores")), "page", "vec_id", F.col("scores")).select("page", "labels", "n_labels"))
+  SELECT page, string_agg(k::VARCHAR, ' ' ORDER BY vec_id) AS labels, count(*) AS n_labels, round(avg(p), 4) AS confidence FROM x WHERE k <> 0 AND (before IS NULL OR before <> k) GROUP BY page"""
+query("m07_ctc", CTC_SQL)(
+    lambda spark, d: page.ctc_decode(read(spark, d, "embeddings").select(F.col("label").alias("page"), "vec_id", F.col("embedding").alias("scores")), "page", "vec_id", F.col("scores"))
+    .select("page", "labels", "n_labels", F.round("confidence", 4).alias("confidence"))
+)
 query("g14_tight_gaps", "SELECT user_id, first, last, NOT bool_or(value < 5) AS tight FROM (SELECT user_id, event_id, value FROM events) JOIN (SELECT user_id, min(event_id) AS first, min(event_id) + 400 AS last FROM events GROUP BY user_id) USING (user_id) WHERE event_id BETWEEN first AND last GROUP BY ALL")(
     lambda spark, d: page.tight_gaps(
         read(spark, d, "events").select("user_id", "event_id", (F.col("value") < 5).alias("blank")), "user_id", "event_id", "blank", "first", "last",
         read(spark, d, "events").groupBy("user_id").agg(F.min("event_id").alias("first")).withColumn("last", F.col("first") + 400),
     )
 )
-query("a29_packing")(lambda spark, d: read(spark, d, "documents").select("doc_id", F.posexplode(page.pack(F.split("text", "\n"), 400)).alias("part", "text")))
-query("a30_windows")(lambda spark, d: read(spark, d, "documents").select("doc_id", F.posexplode(page.windows(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+|[.,!?]"), F.lit(0)))).alias("part", "text")))
+query("a29_packing", """WITH RECURSIVE e AS MATERIALIZED (SELECT doc_id, l, i FROM (SELECT doc_id, unnest(p) AS l, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))),
+  r AS (SELECT doc_id, i, l, length(l) AS size, 0 AS part FROM e WHERE i = 1 UNION ALL
+        SELECT e.doc_id, e.i, e.l, CASE WHEN r.size + 1 + length(e.l) <= 400 THEN r.size + 1 + length(e.l) ELSE length(e.l) END, CASE WHEN r.size + 1 + length(e.l) <= 400 THEN r.part ELSE r.part + 1 END FROM r JOIN e ON e.doc_id = r.doc_id AND e.i = r.i + 1)
+  SELECT doc_id, part::INTEGER AS part, string_agg(l, chr(10) ORDER BY i) AS text FROM r GROUP BY doc_id, part""")(
+    lambda spark, d: read(spark, d, "documents").select("doc_id", F.posexplode(page.pack(F.split("text", "\n", -1), 400)).alias("part", "text"))
+)
+query("a30_windows", r"""WITH RECURSIVE e AS MATERIALIZED (SELECT doc_id, w, i, regexp_matches(w, '^[^\p{L}\p{N}]+$') AS sign FROM (SELECT doc_id, unnest(p) AS w, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+|[.,!?]') AS p FROM documents))),
+  r AS (SELECT doc_id, i, w, 1 AS n, length(w) AS size, 0 AS part FROM e WHERE i = 1 UNION ALL
+        SELECT e.doc_id, e.i, CASE WHEN e.sign THEN e.w WHEN r.n < 2 AND r.size + 1 + length(e.w) <= 60 THEN ' ' || e.w ELSE e.w END,
+               CASE WHEN e.sign THEN r.n WHEN r.n < 2 AND r.size + 1 + length(e.w) <= 60 THEN r.n + 1 ELSE 1 END,
+               CASE WHEN e.sign THEN r.size + length(e.w) WHEN r.n < 2 AND r.size + 1 + length(e.w) <= 60 THEN r.size + 1 + length(e.w) ELSE length(e.w) END,
+               CASE WHEN e.sign OR (r.n < 2 AND r.size + 1 + length(e.w) <= 60) THEN r.part ELSE r.part + 1 END FROM r JOIN e ON e.doc_id = r.doc_id AND e.i = r.i + 1)
+  SELECT doc_id, part::INTEGER AS part, string_agg(w, '' ORDER BY i) AS text FROM r GROUP BY doc_id, part""")(
+    lambda spark, d: read(spark, d, "documents").select("doc_id", F.posexplode(page.windows(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+|[.,!?]"), F.lit(0)))).alias("part", "text"))
+)
+query("a28_batches", "SELECT l_orderkey, l_linenumber, size, ((row_number() OVER (ORDER BY size, l_orderkey, l_linenumber) - 1) // 64)::BIGINT AS batch FROM (SELECT l_orderkey, l_linenumber, l_quantity::INTEGER AS size FROM lineitem)")(
+    lambda spark, d: page.batches(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("size")), "size", ["l_orderkey", "l_linenumber"], 64)
+)
+query("o03_limits", """SELECT 'pages' AS kind, source AS key, string_agg(doc_id::VARCHAR, ',' ORDER BY r) AS kept FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 20 GROUP BY source
+  UNION ALL SELECT 'plates', l_orderkey::VARCHAR, string_agg(l_linenumber::VARCHAR, ',' ORDER BY r) FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS r FROM lineitem) WHERE r <= 6 GROUP BY l_orderkey""")(
+    lambda spark, d: page.first_of(read(spark, d, "documents").select(F.col("source").alias("key"), F.col("doc_id").alias("item"), F.col("doc_id").alias("o")), "key", ["o"], "item", 20).withColumn("kind", F.lit("pages")).unionByName(
+        page.first_of(read(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("key"), F.col("l_linenumber").alias("item"), (-F.col("l_quantity")).alias("o")), "key", ["o", "item"], "item", 6).withColumn("kind", F.lit("plates"))
+    )
+)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from glyphflow import tables as t
 from glyphflow.functions import letters, scripts, tokens
-from glyphflow.operators import convert, fixer, language, lm, models, page, reader, store
+from glyphflow.operators import convert, fixer, language, lexicon, lm, models, page, reader, store
 from glyphflow.plans.pipeline import inline_results, process
 from glyphflow.plans.queries_corpus import LEXICON
 
@@ -109,7 +109,7 @@ def test_language_kinds(spark):
 FREQ = {"ged": 5, "gedeq": 2881, "ü": 4, "dü": 9057, "örgöǰi": 173, "kü": 2, "örgöǰikü": 2, "erdeni": 183, "d": 0}
 
 
-@pytest.mark.parametrize(("text", "want"), [("örgöǰi kü ged eq", "örgöǰikü gedeq"), ("erdeni dü ger", "erdeni dü ger"), ("baqta :qsan", "baqta:qsan"), ("", "")])
+@pytest.mark.parametrize(("text", "want"), [("örgöǰi kü ged eq", "örgöǰikü gedeq"), ("erdeni\u202fdü ger", "erdeni\u202fdü ger"), ("baqta :qsan", "baqta:qsan"), ("", "")])
 def test_broken_words(text, want):
     assert lm.join_broken(text, FREQ) == want
 
@@ -246,13 +246,45 @@ def test_clear_script_text(spark):
     assert [r.y for r in got.collect()] == ["AB; B", None]
 
 
-def test_broken_words_beyond_the_limit(spark):
-    """A frequency table too large for a broadcast gives what the whole table gives, rare words and chains of three included."""
+def test_broken_words_of_a_table(spark):
+    """Frequencies that come by a join give what the whole table gives, rare words and chains of three included."""
     freq = {"x": 99, "y": 98, "ged": 5, "gedeq": 7, "kü": 1, "örgöǰikü": 2, "ab": 2, "abc": 3, "baq:": 1}
-    texts = ["ged eq, x örgöǰi kü.", "a b c", "(ged eq) baq :ta y", None, "", "a b c x", "ged eq ged eq"]
+    texts = ["ged eq, x örgöǰi kü.", "a b c", "(ged eq) baq :ta y", None, "", "a b c x", "ged eq ged eq", "x \u202f y"]
     words = spark.createDataFrame(list(freq.items()), "word string, freq long")
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts)], "id long, text string")
-    for limit in (1, 1_000_000):
-        got = {r.id: r.joined for r in lm.join_broken_words(df, "text", words, limit).collect()}
-        assert got == {i: None if t is None else lm.join_broken(t, freq) for i, t in enumerate(texts + texts)}, limit
-    assert lm.join_broken(texts[0], freq) == "gedeq, x örgöǰikü."
+    got = {r.id: r.joined for r in lm.join_broken_words(df, "text", words).collect()}
+    assert got == {i: None if t is None else lm.join_broken(t, freq) for i, t in enumerate(texts + texts)}
+    assert lm.join_broken(texts[0], freq) == "gedeq, x örgöǰikü." and got[7] == "x \u202f y"
+
+
+def test_broken_todo_words(spark):
+    """Todo text: forms are looked up by their transliteration, the long mark joins, the letter model closes tight narrow gaps, and gaps that stay keep their characters."""
+    todo = lambda t: spark.createDataFrame([(t,)], "t string").select(scripts.translit_to_todo(F.col("t"))).first()[0]
+    freq = {"ged": 5, "gedeq": 2881, "erdeni": 183, "dü": 9057, "bayiqsan": 40, "bayital": 50, "sayin": 60}
+    words = spark.createDataFrame(list(freq.items()), "word string, freq long")
+    ged, eq, erdeni, du = (todo(x) for x in ("ged", "eq", "erdeni", "dü"))
+    rows = [(0, f"{ged}\u202f{eq} \u202f{erdeni}\u202f{du}"), (1, f"{todo('ba')}\u202f\u1843{todo('d')}"), (2, f"{todo('bayi')}\u202f{todo('tan')}")]
+    df = spark.createDataFrame([(i, t, [True] * len(t)) for i, t in rows], "id long, text string, tight array<boolean>")
+    got = {r.id: r.joined for r in lm.join_broken_words(df, "text", words, script="todo").collect()}
+    assert got == {0: f"{todo('gedeq')} \u202f{erdeni}\u202f{du}", 1: todo("ba") + "\u1843" + todo("d"), 2: rows[2][1]}
+    counts = lexicon.lm_counts(words).collect()
+    model = lm.LetterModel([(r.k, r.ctx, r.c, r.cnt) for r in counts], 30)
+    model.gain = lambda a, b, ab=None: 12.0  # between the two bounds
+    tight = {r.id: r.joined for r in lm.join_broken_words(df, "text", words, model=model, tight_col="tight", script="todo").collect()}
+    loose = {r.id: r.joined for r in lm.join_broken_words(df.withColumn("tight", F.transform("tight", lambda x: ~x)), "text", words, model=model, tight_col="tight", script="todo").collect()}
+    assert tight[2] == rows[2][1].replace("\u202f", "") and loose[2] == rows[2][1]
+
+
+def test_spellings(spark):
+    rows = spark.createDataFrame([("dalai", "dalay"), ("xoišidu", "xoyišidu"), ("a b", "ab"), ("ger", "bayar")], "a string, b string")
+    assert [r.x for r in rows.select(letters.related(F.col("a"), F.col("b")).alias("x")).collect()] == [True, True, False, False]
+    pairs = spark.createDataFrame([("ete", "été", "ete"), ("éte", "été", "ete"), ("ètè", "été", "ete")], "t string, w string, k string")
+    assert [r.x for r in pairs.select(letters.plainer(F.col("t"), F.col("w"), F.col("k")).alias("x")).collect()] == [True, True, False]
+
+
+def test_letter_probabilities_match_the_worker(spark):
+    words = spark.createDataFrame([(w,) for w in ("abra", "cadabra", "bar", "a")], "word string").withColumn("freq", F.lit(1).cast("long"))
+    counts = lexicon.lm_counts(words)
+    model = lm.LetterModel([(r.k, r.ctx, r.c, r.cnt) for r in counts.collect()], 40)
+    for r in lm.log_probability(words, counts, 40).collect():
+        assert abs(r.logp - model.logp(r.word)) < 1e-9
