@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import uuid
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
@@ -12,46 +10,13 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphflow.storage import materialise, release, shared_dir  # noqa: F401
+
 #: A word is a run of characters other than these six.
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 WORD = NOT_SPACE + "+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, which the cluster names in spark.checkpoint.dir. Only a session on one machine may do without and gets /tmp/checkpoints."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def _folder(spark: SparkSession, path: str):
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, so that a lost
-    executor costs a read and not the lineage. The files go by ``release``, else when the JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/glyphflow/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where, files = _folder(spark, path)
-    files.deleteOnExit(where)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Delete the files of a materialised table that nothing reads any more."""
-    where, files = _folder(df.sparkSession, df.stored_at)
-    files.delete(where, True)
-
-
 def packed(df: DataFrame, text_col: str, made: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
     """``df`` as (_row, _text), so that no name of its own can meet an operator's; and the names to give back by ``own``.
 
@@ -66,7 +31,7 @@ def own(names: list[str], text_col: str, text: bool = True) -> list[Column]:
     return [F.col("_text" if c == text_col else f"_row.`{c}`").alias(c) for c in names if text or c != text_col]
 
 
-def shuffled(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def shuffled(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """A join by shuffle: the engine sends neither side, however small it guesses it, to every executor."""
     return left.join(right.hint("merge"), on, how)
 

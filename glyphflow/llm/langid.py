@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphflow.llm.common import chunks, materialise
+from glyphflow.llm.common import chunks, materialise, shuffled
 
 ORDER, ENTRIES = 4, 1 << 21
 CALIBRATION = 2_000
@@ -110,7 +110,7 @@ def kneser_ney(counts: DataFrame, alphabet: int) -> list[DataFrame]:
         if k < ORDER:  # how many different characters stand before; a gram at a word's start has its own count
             shorter = F.col("gram").bitwiseAND(F.lit((1 << 16 * k) - 1))
             before = counts.where(F.col("k") == k + 1).groupBy("lang", shorter.alias("gram")).agg(F.count(F.lit(1)).alias("before"))
-            own = own.join(before, ["lang", "gram"], "left").select("lang", "gram", "n", F.coalesce("before", "n").alias("c"))
+            own = shuffled(own, before, ["lang", "gram"], "left").select("lang", "gram", "n", F.coalesce("before", "n").alias("c"))
         else:
             own = own.withColumn("c", F.col("n"))
         own = own.withColumns({"ctx": F.shiftrightunsigned("gram", 16) if k > 1 else F.lit(0).cast("long"), "suf": F.col("gram").bitwiseAND(F.lit((1 << 16 * (k - 1)) - 1))})
@@ -120,10 +120,10 @@ def kneser_ney(counts: DataFrame, alphabet: int) -> list[DataFrame]:
         taken = own.groupBy("lang").agg(discount.alias("d"))
         totals = own.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"))
         totals = totals.join(F.broadcast(taken), "lang").select("lang", "ctx", "total", "d", (F.col("d") * F.col("kinds") / F.col("total")).alias("weight"))  # a row a language
-        own = own.join(totals, ["lang", "ctx"])
+        own = shuffled(own, totals, ["lang", "ctx"])
         below = F.lit(1.0 / (alphabet + 1))
         if out:
-            own = own.join(out[-1].select("lang", F.col("gram").alias("suf"), F.col("p").alias("below")), ["lang", "suf"])
+            own = shuffled(own, out[-1].select("lang", F.col("gram").alias("suf"), F.col("p").alias("below")), ["lang", "suf"])
             below = F.col("below")
         p = F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("weight") * below
         out.append(materialise(own.select("lang", "gram", "n", p.alias("p"), "ctx", "weight"), "langid-order"))

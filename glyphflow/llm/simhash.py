@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphflow.llm.common import chunks, materialise, shuffled
-from glyphflow.llm.components import components
+from glyphflow.operators.graph import components
 
 SHINGLE, SEED, RADIUS, SEGMENTS = 3, 42, 3, 4
 #: Members of a join key that are compared pair by pair; larger keys are made longer, then go by ``dense``.

@@ -14,7 +14,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from glyphflow.llm import bpe, components, ctw, decontaminate, langid, pii, quality, queries, secrets, sharding, simhash, token_counts
+from glyphflow.llm import bpe, ctw, decontaminate, langid, pii, quality, queries, secrets, sharding, simhash, token_counts
+from glyphflow.operators.graph import components
 
 SF = "/root/testdata/sf0.001"
 WORD_JSON = public_tokenizers.path("word_bpe_49k.json")
@@ -237,7 +238,7 @@ def test_simhash_groups(spark, bucket):
         fps.append(rng.choice(fps) ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 5))) % (1 << 64))
     nodes = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in {f % (1 << 64) for f in fps}], "fp long")
     linked = simhash.links(nodes, bucket)
-    found = {r.node % (1 << 64): r.root % (1 << 64) for r in components.components(linked).collect()}
+    found = {r.node % (1 << 64): r.root % (1 << 64) for r in components(linked).collect()}
     order = sorted({f % (1 << 64) for f in fps}, key=lambda x: x - (1 << 64) if x >> 63 else x)
     want = brute_groups([(i, f) for i, f in enumerate(order)])
     assert {f: order.index(found.get(f, f)) for f in order} == {f: want[i] for i, f in enumerate(order)}
@@ -286,7 +287,7 @@ def test_simhash_keep(odd):
 
 def test_chain_of_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "u long, v long")
-    got = {r.node: r.root for r in components.components(edges).collect()}
+    got = {r.node: r.root for r in components(edges).collect()}
     assert got == {i: 0 for i in range(1, 61)} | {101: 100}
 
 
@@ -620,6 +621,96 @@ def test_bpe_decodes_the_ids_alone(spark, room):
     assert b"".join(back[int(i)] for i in row.ids_text.split(",")) == bytes(row.decoded) and row.n_tokens == row.ids_text.count(",") + 1
 
 
+OWN = "_row _text _w _l _at known codes others cands key spans secret_spans n_words fail_bits n_bytes n_tokens hit_words hit_items fp id root cell rid lang word ids_text decoded held_out score".split()
+MADE = {
+    "token_counts": ("n_bytes", "n_tokens", "over_limit"), "pii": ("spans",), "quality": (*quality.MEASURES, "fail_bits"), "decontaminate": decontaminate.RESULTS,
+    "secrets": ("secret_spans",), "bpe": ("ids_text", "n_tokens", "decoded"),
+}
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Columns with every name that operators use inside or give, nulls in all of them, empty, repeated and very long texts."""
+    long = ("the cat sat on the mat, call +1 (212) 555-0100 or x@y.de; " * 20_000, "x" * 300_000, "é " * 100_000)
+    texts_ = [None, "", "the cat sat", "the cat sat", *long]
+    schema = "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in OWN)
+    rows = [(None if i == 3 else i // 2, t, *[None if i % 2 else f"{c}{i}" for c in OWN]) for i, t in enumerate(texts_)]
+    return spark.createDataFrame(rows, schema).repartition(2).cache()
+
+
+def test_own_columns_and_long_texts(spark, clashing):
+    """Operators that give rows back: own columns stay, but for those named like a result; a whole long text is read."""
+    bench = spark.createDataFrame([(1, "sat on the mat call 1 212 555 0100 or x")], "item_id long, text string")
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    made = {
+        "token_counts": token_counts.count(clashing, WORD_JSON), "pii": pii.find(clashing), "quality": quality.ledger(clashing), "decontaminate": decontaminate.scan(clashing, bench),
+        "secrets": secrets.find(clashing, vocabulary, public_tokenizers.PATTERN), "bpe": bpe.encode(clashing, MULTI, public_tokenizers.PATTERN),
+    }
+    want = Counter(tuple(None if v is None else str(v) for v in (r.doc_id, *[r[c] for c in OWN])) for r in clashing.collect())
+    for name, df in made.items():
+        rows = df.collect()
+        kept = [c for c in OWN if c not in MADE[name]]
+        at = [0, *[1 + OWN.index(c) for c in kept]]
+        got = Counter(tuple(None if v is None else str(v) for v in (r.doc_id, *[r[c] for c in kept])) for r in rows)
+        assert got == Counter(tuple(k[i] for i in at) for k in want.elements()), name
+        assert set(MADE[name]) <= set(df.columns), name
+    assert max(len(r.spans) for r in made["pii"].collect()) == 40_000
+    assert max(len(r.hit_words) for r in made["decontaminate"].collect()) == 20_000 * 11
+    assert sorted(len(bytes(r.decoded)) for r in made["bpe"].collect()) == sorted(len((r.text or "").encode()) for r in clashing.collect())
+
+
+def test_own_columns_where_results_stand_alone(clashing):
+    n = clashing.count()
+    assert sharding.assign(clashing).count() == n and simhash.groups(clashing).count() == n
+    assert simhash.keep(clashing).columns == clashing.columns and quality.keep(clashing).columns == clashing.columns
+    scored = ctw.score(clashing).collect()
+    assert len(scored) == n and all(r.score < 0 for r in scored)
+    assert {r.lang_pred for r in langid.predict(clashing).collect()} <= {"und", *[f"lang{i}" for i in range(0, 8, 2)]}
+    assert decontaminate.clean(clashing, clashing.limit(0).select(F.col("doc_id").alias("item_id"), "text"), how="spans").columns == clashing.columns
+
+
+def test_spans_are_removed_by_batches(spark):
+    docs = spark.createDataFrame([(1, "One two, three. Four", "a"), (2, None, "b"), (3, "none here", None)], "doc_id long, text string, _text string")
+    bench = spark.createDataFrame([(9, "two three")], "item_id long, text string")
+    got = {r.doc_id: (r.text, r._text) for r in decontaminate.clean(docs, bench, how="spans").collect()}
+    assert got == {1: ("One . Four", "a"), 2: (None, "b"), 3: ("none here", None)}
+
+
+def test_windows_stay_small():
+    """Memory of a block of items stays a few times its text."""
+    import tracemalloc
+
+    rng = random.Random(4)
+    names = [f"word{i}" for i in range(20_000)]
+    items = [(str(k), " ".join(rng.choices(names, k=200))) for k in range(1500)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    windows = decontaminate.Windows(items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * size, (peak, size)
+    text = items[7][1]
+    assert decontaminate.find([text], windows, [None])[1] == [list(range(200))]
+
+
+def test_ring_is_the_walk_key_by_key(spark, odd):
+    """Who goes where, hot keys and any layout included; and how far one more row or shard moves the bounded assignment."""
+    rows = [(k, f"t{k % 3}") for k in range(3000)] + [(7, "same")] * 3000 + [(8, f"u{i % 40}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    order = df.select(F.xxhash64("doc_id").alias("at"), "doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"), (F.octet_length("text") + 1).alias("size")).collect()
+    order.sort(key=lambda r: (r["at"] >> 48 & 0xFFFF, r["at"], r.doc_id, r.crc, r["size"]))
+    want = Counter((r.doc_id, r.crc, s) for r, s in zip(order, brute_ring([r["at"] >> 48 & 0xFFFF for r in order], 8)))
+    for parts in (1, 5):
+        got = sharding.assign(df.repartition(parts)).collect()
+        assert Counter((r.key, r.text_crc32, r.shard) for r in got) == want
+        assert len({(r.shard, r.slot) for r in got}) == len(rows)
+    a, b = ({r.key: r.shard for r in sharding.assign(spark.range(n).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))).collect()} for n in (4000, 4001))
+    assert sum(a[k] != b[k] for k in a) < 0.02 * len(a)
+    c = {r.key: r.shard for r in sharding.assign(spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")), shards=9).collect()}
+    moved = sum(a[k] != c[k] for k in a) / len(a)
+    assert moved < 0.6, moved
+
+
 def test_every_query_returns_all_rows(spark, documents):
     n = documents.count()
     for name, f in queries.QUERIES.items():
