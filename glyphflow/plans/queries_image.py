@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glyphflow.operators import image
+from glyphflow.operators import image, page
 from glyphflow.plans.catalog import query, read
+from glyphflow.sources import png
 
 WIDE = 64
 
@@ -106,3 +107,39 @@ def g05(spark, d):
 
 
 query("m08_columns")(lambda spark, d: image.columns(inked(spark, d)))
+
+
+@query("io09_io16_png", f"SELECT page, {SUMMED_SQL} FROM {BITMAP_SQL} GROUP BY page")
+def png_round(spark, d):
+    files = png.images(bitmap(spark, d))
+    size = bitmap(spark, d).groupBy("page").agg(F.count(F.lit(1)).alias("size"))  # the last row of a bitmap may be short
+    back = png.pixels(files, "page").join(size, "page").where(F.col("y") * WIDE + F.col("x") < F.col("size"))
+    return summed(back.withColumn("v", F.col("r")), "v")
+
+
+def _said(way: int) -> str:
+    return f"event_id * {way // 90 + 5} % 37 AS l, (event_id * 13 + {way % 1000 * 7}) % 100 / 100.0"
+
+
+def _cascade_sql() -> str:
+    now = "SELECT event_id, event_id % 10 / 100.0::DOUBLE AS gain, CASE WHEN event_id % 11 <> 0 THEN event_id * 5 % 37 END AS letters, CASE WHEN event_id % 11 <> 0 THEN event_id * 13 % 100 / 100.0::DOUBLE END AS confidence, CASE WHEN event_id % 11 <> 0 THEN 0 END AS way FROM events"
+    bad = "(letters IS NULL OR letters < 10 OR confidence < 0.9::DOUBLE)"
+    now = f"SELECT *, {bad} AS poor FROM ({now})"
+    for way in (*page.TURNS, page.LOCAL):
+        needs = bad if way == page.LOCAL else "(poor OR gain >= 0.05::DOUBLE)" if way == 180 else "poor"
+        had, sure = "coalesce(letters * confidence, 0::DOUBLE)", "coalesce(confidence, 0::DOUBLE)"
+        wins = f"{needs} AND c >= 0.85::DOUBLE AND l >= 10 AND (l * c > 1.5::DOUBLE * {had} OR (c >= {sure} + 0.03::DOUBLE AND l * c >= 0.9::DOUBLE * {had}))"
+        now = f"SELECT event_id, gain, poor, CASE WHEN w THEN l ELSE letters END AS letters, CASE WHEN w THEN c ELSE confidence END AS confidence, CASE WHEN w THEN {way} ELSE way END AS way FROM (SELECT *, {wins} AS w FROM (SELECT *, {_said(way)}::DOUBLE AS c FROM ({now})))"
+    return f"SELECT event_id AS page, way::INTEGER AS way, letters, confidence FROM ({now})"
+
+
+@query("m09_cascade", _cascade_sql())
+def m09(spark, d):
+    """Readings made up from the page's number: some pages can't be read upright."""
+
+    def reading(pages, way):
+        rows = pages if way else pages.where(F.col("page") % 11 != 0)
+        return rows.select("page", (F.col("page") * (way // 90 + 5) % 37).alias("letters"), ((F.col("page") * 13 + way % 1000 * 7) % 100 / 100.0).alias("confidence"))
+
+    pages = read(spark, d, "events").select(F.col("event_id").alias("page"), (F.col("event_id") % 10 / 100.0).alias("flip_gain"))
+    return page.cascade(pages, reading)

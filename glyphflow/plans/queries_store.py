@@ -111,9 +111,9 @@ BOXES_SQL = "(SELECT l_orderkey AS page, l_partkey % 5 * 50 AS x, l_linenumber A
 
 
 @query("g07_stacked_order", f"""WITH t AS (SELECT *, y1 - y0 >= 0.9::DOUBLE * (max(y1) OVER p - min(y0) OVER p) AS tall FROM {BOXES_SQL} WINDOW p AS (PARTITION BY page)),
-  u AS (SELECT *, sum(CASE WHEN tall OR before THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY x, y0) AS run FROM (SELECT *, coalesce(lag(tall) OVER (PARTITION BY page ORDER BY x, y0), false) AS before FROM t)),
-  v AS (SELECT *, coalesce(y0 > max(y1) OVER (PARTITION BY page, run ORDER BY y0, x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS new FROM u),
-  w AS (SELECT *, sum(new::INTEGER) OVER (PARTITION BY page, run ORDER BY y0, x) AS block FROM v)
+  u AS (SELECT *, sum(CASE WHEN tall OR before THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY x, y0, y1) AS run FROM (SELECT *, coalesce(lag(tall) OVER (PARTITION BY page ORDER BY x, y0, y1), false) AS before FROM t)),
+  v AS (SELECT *, coalesce(y0 > max(y1) OVER (PARTITION BY page, run ORDER BY y0, x, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS new FROM u),
+  w AS (SELECT *, sum(new::INTEGER) OVER (PARTITION BY page, run ORDER BY y0, x, y1) AS block FROM v)
   SELECT page, x, y0, y1, row_number() OVER (PARTITION BY page ORDER BY run, block, x, y0, y1) AS place FROM w""")
 def g07(spark, d):
     boxes = read(spark, d, "lineitem").selectExpr("l_orderkey AS page", "l_partkey % 5 * 50 AS x", "l_suppkey % 7 * 100 AS y0", "l_suppkey % 7 * 100 + 20 + CAST(l_quantity AS INT) * 12 AS y1")
