@@ -37,7 +37,7 @@ BUCKETS = 8192
 #: Bytes that the table of frequent pre-tokens may take.
 TABLE_BYTES = 96 << 20
 LONG = 128
-GATHER = 400_000
+GATHER = 250_000
 CACHE = 150_000
 #: What stands between pieces, a letter that no byte is written as.
 GAP = "\u0100"
