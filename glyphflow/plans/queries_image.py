@@ -76,7 +76,7 @@ LABEL_SQL = f"""r AS MATERIALIZED (SELECT page, y, x0, x1 FROM {RUNS_SQL}),
 @query("g04_components", f"""WITH RECURSIVE {LABEL_SQL}
   SELECT page, label::BIGINT AS label, sum(x1 - x0 + 1)::BIGINT AS area, count(*) AS n_runs, min(y) AS y0, max(y) AS y1, min(x0) AS x0, max(x1) AS x1 FROM named JOIN r USING (page, y, x0) GROUP BY page, label""")
 def g04(spark, d):
-    found = image.components(image.labelled(image.runs(inked(spark, d))))
+    found = image.components(image.labelled(image.pieces(inked(spark, d))))
     at = F.split("label", ":")
     return found.withColumn("label", F.get(at, F.lit(1)).cast("long") * WIDE + F.get(at, F.lit(2)).cast("long"))
 
@@ -86,7 +86,7 @@ def g04(spark, d):
   t AS (SELECT page, quantile_cont(n::DOUBLE, 0.5) AS t FROM z JOIN p USING (page, label) JOIN l USING (page) WHERE k > 1 AND area >= large GROUP BY page)
   SELECT page, CASE WHEN t >= 2 * s THEN t ELSE s END AS stroke FROM s LEFT JOIN t USING (page)""")
 def g04_strokes(spark, d):
-    marked = image.labelled(image.runs(inked(spark, d)))
+    marked = image.labelled(image.pieces(inked(spark, d)))
     return image.stroke_width(marked, image.components(marked))
 
 
