@@ -113,8 +113,9 @@ query("m08_columns")(lambda spark, d: image.columns(inked(spark, d)))
 def png_round(spark, d):
     files = png.images(bitmap(spark, d))
     size = bitmap(spark, d).groupBy("page").agg(F.count(F.lit(1)).alias("size"))  # the last row of a bitmap may be short
-    back = png.pixels(files, "page").join(size, "page").where(F.col("y") * WIDE + F.col("x") < F.col("size"))
-    return summed(back.withColumn("v", F.col("r")), "v")
+    sized = files.join(size.hint("merge"), "page").select(F.struct("page", "size").alias("page"), "content")
+    back = png.pixels(sized, "page").where(F.col("y") * WIDE + F.col("x") < F.col("page.size"))
+    return summed(back.select(F.col("page.page").alias("page"), "y", "x", F.col("r").alias("v")), "v")
 
 
 def _said(way: int) -> str:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: The signature, and the number of channels of each colour type.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+#: Pixels that travel in one piece.
+PIECE = 512
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -96,7 +98,7 @@ def pixels(files: DataFrame, page: str = "path", most: int = 50_000_000) -> Data
                 for top in range(0, len(image), 64):
                     part = image[top : top + 64]
                     y, x = np.indices(part.shape[:2])
-                    columns = [pa.array([key.as_py()] * y.size, key.type), pa.array((y.ravel() + top).astype(np.int32)), pa.array(x.ravel().astype(np.int32))]
+                    columns = [pa.repeat(key, y.size), pa.array((y.ravel() + top).astype(np.int32)), pa.array(x.ravel().astype(np.int32))]
                     columns += [pa.array(part[..., k].ravel().astype(np.int32)) for k in range(4)]
                     yield pa.RecordBatch.from_arrays(columns, names=["page", "y", "x", "r", "g", "b", "a"])
 
@@ -105,17 +107,42 @@ def pixels(files: DataFrame, page: str = "path", most: int = 50_000_000) -> Data
 
 
 def images(gray: DataFrame) -> DataFrame:
-    """(page, content): the PNG file of each page of (page, y, x, v); places without a pixel are white. A page's lines are put together first, so a task holds one image at a time."""
-    lines = gray.groupBy("page", "y").agg(F.sort_array(F.collect_list(F.struct("x", "v"))).alias("row"))
-    pages = lines.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("y", "row"))).alias("rows"))
+    """(page, content): the PNG file of each page of (page, y, x, v); places without a pixel are white. Pixels are packed where they are and
+    travel by page; a task holds one image at a time."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                known = batch.column("page").dictionary_encode()
+                code = known.indices.to_numpy()
+                data = np.stack([batch.column(c).to_numpy() for c in ("y", "x", "v")])
+                if (code[1:] < code[:-1]).any():
+                    order = np.argsort(code, kind="stable")
+                    code, data = code[order], data[:, order]
+                ends = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), len(code)]
+                cut = [(i, min(i + PIECE, e)) for s, e in zip(ends, ends[1:]) for i in range(s, e, PIECE)]
+                yield pa.RecordBatch.from_arrays([known.dictionary.take(pa.array(code[[i for i, _ in cut]])), pa.array([data[:, i:e].tobytes() for i, e in cut], pa.binary())], names=["page", "data"])
+
+    def drawn(key: pa.Scalar, parts: list[np.ndarray]) -> pa.RecordBatch:
+        y, x, v = np.concatenate(parts, axis=1)
+        order = np.argsort(v, kind="stable")  # of several pixels at one place the lightest shows
+        image = np.full((y.max() + 1, x.max() + 1), 255, np.uint8)
+        image[y[order], x[order]] = v[order]
+        return pa.RecordBatch.from_arrays([pa.array([key.as_py()], key.type), pa.array([encode(image)], pa.binary())], names=["page", "content"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
         for batch in batches:
-            for key, rows in zip(batch.column("page"), batch.column("rows")):
-                rows = rows.as_py()
-                image = np.full((rows[-1]["y"] + 1, max(r["row"][-1]["x"] for r in rows) + 1), 255, np.uint8)
-                for r in rows:
-                    image[r["y"], [p["x"] for p in r["row"]]] = [p["v"] for p in r["row"]]
-                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], key.type), pa.array([encode(image)], pa.binary())], names=["page", "content"])
-
-    return pages.mapInArrow(run, f"page {gray.schema['page'].dataType.simpleString()}, content binary")
+            for key, data in zip(batch.column("page"), batch.column("data")):
+                if parts and key != now:
+                    yield drawn(now, parts)
+                    parts = []
+                now = key
+                parts.append(np.frombuffer(data.as_buffer(), np.int32).reshape(3, -1))
+        if parts:
+            yield drawn(now, parts)
+
+    kind = gray.schema["page"].dataType.simpleString()
+    whole = gray.select("page", *[F.col(c).cast("int").alias(c) for c in ("y", "x", "v")]).dropna()
+    pieces = whole.mapInArrow(pack, f"page {kind}, data binary").repartition("page").sortWithinPartitions("page")
+    return pieces.mapInArrow(run, f"page {kind}, content binary")
