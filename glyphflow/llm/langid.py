@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphflow.llm.common import chunks, materialise, shuffled
+from glyphflow.llm.common import chunks, few_at_once, materialise, shuffled
 
 ORDER, ENTRIES = 4, 1 << 21
 CALIBRATION = 2_000
@@ -58,6 +58,10 @@ def words_of(text: str) -> list[str]:
     return LATIN.findall(text.lower())
 
 
+#: Words scored at once, and bytes of text that a worker holds as words: both bound a worker's memory, not the result.
+AT_ONCE, PIECE = 20_000, 2 << 20
+
+
 def grams(data: np.ndarray, order: int) -> np.ndarray:
     """The packed gram of this order that ends at each character but the first; only valid where the word reaches back as far."""
     n = len(data) - 1
@@ -88,13 +92,13 @@ def _counted(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each: dict[str, Counter] = {}
-        for batch in chunks(batches):
+        for batch in chunks(batches, "text", PIECE):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 words = each.setdefault(lang, Counter())
                 words.update(words_of(text))
-                if len(words) > GATHER:
-                    yield from of(lang, words)
-                    each[lang] = Counter()
+                if sum(map(len, each.values())) > GATHER:
+                    most = max(each, key=lambda k: len(each[k]))
+                    yield from of(most, each.pop(most))
         for lang, words in each.items():
             if words:
                 yield from of(lang, words)
@@ -236,7 +240,8 @@ class Reader:
             room = max(need, 2 * len(self.table))
             self.table = np.concatenate([self.table, np.zeros((room - len(self.table), self.table.shape[1]))])
             self.sizes = np.concatenate([self.sizes, np.zeros(room - len(self.sizes))])
-        self.table[self.used : need] = self.model.logs(words)
+        for i in range(0, len(words), AT_ONCE):  # a word's score is its own
+            self.table[self.used + i : min(self.used + i + AT_ONCE, need)] = self.model.logs(words[i : i + AT_ONCE])
         self.sizes[self.used : need] = [len(w) + 1 for w in words]
         self.at.update(zip(words, range(self.used, need)))
         self.used = need
@@ -284,7 +289,7 @@ def _entropies(rows: DataFrame, shared) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, done = Reader(shared.value), set()
-        for batch in chunks(batches):
+        for batch in chunks(batches, "text", PIECE):
             new = []
             for i, x in enumerate(zip(batch.column("h").to_pylist(), batch.column("lang").to_pylist())):
                 if x not in done:
@@ -301,6 +306,7 @@ def _entropies(rows: DataFrame, shared) -> DataFrame:
 
 def train(df: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int, fold: int, entries: int = ENTRIES) -> Model | None:
     spark = df.sparkSession
+    few_at_once(spark)
     rows = df.where(~held_out(id_col, folds, fold) & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")
     )
@@ -310,7 +316,9 @@ def train(df: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int,
         return None
     share = min(1.0, CALIBRATION / max(1, rows.count()))
     hashed = rows.select(F.xxhash64("id", "text").alias("h"), "lang", "text").where(F.col("h") <= min(int(share * (1 << 64)) - (1 << 63), (1 << 63) - 1))
-    found = _entropies(hashed, spark.sparkContext.broadcast(model)).groupBy("h", "lang").agg(F.min("entropy").alias("entropy")).orderBy("h", "lang").collect()
+    shared = spark.sparkContext.broadcast(model)
+    found = _entropies(hashed, shared).groupBy("h", "lang").agg(F.min("entropy").alias("entropy")).orderBy("h", "lang").collect()
+    shared.destroy()  # the calibrated model goes out by itself
     if found:
         model.calibrate(np.array([r["entropy"] for r in found]), [r["lang"] for r in found])
     return model
@@ -325,7 +333,7 @@ def predict(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         reader = Reader(own) if own is not None else None
-        for batch in chunks(batches):
+        for batch in chunks(batches, "text", PIECE):
             n = batch.num_rows
             pred, score, entropy, rejected = ["und"] * n, np.zeros(n), [None] * n, [False] * n
             if reader:

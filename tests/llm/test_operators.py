@@ -400,6 +400,23 @@ def test_kneser_ney_sums_to_one(spark):
         assert abs(sum(r.p - r.weight * low[r.gram & 0xFFFF] for r in seen) + seen[0].weight - 1) < 1e-9
 
 
+def test_words_are_scored_a_few_at_once():
+    """A text of very many words: the model's arrays stay small, and every word has its own score."""
+
+    class Fake:
+        langs, asked = ["a", "b"], []
+
+        def logs(self, words):
+            self.asked.append(len(words))
+            return np.array([[hash(w) % 1000, 1.0] for w in words])
+
+    reader, words = langid.Reader(Fake()), [f"w{i}" for i in range(2 * langid.AT_ONCE + 7)]
+    reader.learn(words[:5])
+    reader.learn(words[5:])
+    assert max(Fake.asked) <= langid.AT_ONCE and sum(Fake.asked) == len(words)
+    assert all(reader.table[reader.at[w], 0] == hash(w) % 1000 for w in words)
+
+
 # --- 7: decontamination
 def brute_hits(text, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
