@@ -302,3 +302,12 @@ def test_letter_probabilities_match_the_worker(spark):
     model = lm.LetterModel([(r.k, r.ctx, r.c, r.cnt) for r in counts.collect()], 40)
     for r in lm.log_probability(words, counts, 40).collect():
         assert abs(r.logp - model.logp(r.word)) < 1e-9
+
+
+def test_broken_words_travel_without_their_text(spark):
+    """Equal texts, null and empty ones keep their rows; no exchange carries a text with each of its forms."""
+    df = spark.createDataFrame([(1, "bol xu a"), (2, "bol xu a"), (3, None), (4, "")], "id long, t string")
+    freq = spark.createDataFrame([("bolxu", 9)], "word string, freq long")
+    got = lm.join_broken_words(df, "t", freq)
+    assert {r.id: r.joined for r in got.collect()} == {1: "bolxu a", 2: "bolxu a", 3: None, 4: ""} and got.columns == ["id", "t", "joined"]
+    assert "_text" not in got._jdf.queryExecution().optimizedPlan().toString()
