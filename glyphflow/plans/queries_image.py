@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from glyphflow.operators import image, page
@@ -26,6 +28,26 @@ def coloured(spark, d):
     return bitmap(spark, d).select("page", "y", "x", F.col("v").alias("r"), (F.col("v") * 7 % 256).alias("g"), (F.col("v") * 3 % 256).alias("b"))
 
 
+def bitmap_pieces(spark, d):
+    """The bitmap as ``image.packed`` gives it, each text packed where it is read."""
+
+    def run(batches):
+        for batch in batches:
+            of, rows = [], []
+            for i, t in enumerate(batch.column("html").to_pylist()):
+                v = np.minimum(np.frombuffer(t.encode("utf-32-le"), "<u4"), 255).astype(np.uint8)
+                for band, s in enumerate(range(0, len(v), WIDE * image.BAND)):
+                    level = v[s : s + WIDE * image.BAND]
+                    place = np.arange(len(level))
+                    of.append(i)
+                    rows.append((band, len(level), *image.piece(place // WIDE, place % WIDE, level)))
+            columns = [batch.column("page").take(pa.array(of, pa.int32())), *[pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))]]
+            yield pa.RecordBatch.from_arrays(columns, names=["page", "band", "n", "size", "data"])
+
+    rows = read(spark, d, "pages").select(F.col("page_id").alias("page"), "html").dropna()
+    return rows.mapInArrow(run, f"page {rows.schema['page'].dataType.simpleString()}, {image.PIECES}")
+
+
 def inked(spark, d):
     return bitmap(spark, d).where(F.chr("v").isin("a", "e", "i", "o")).select("page", "y", "x")
 
@@ -36,6 +58,25 @@ def summed(rows, value: str):
     return rows.groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(value).cast("long")).alias("total"), F.sum(F.col(value).cast("long") * place).alias("placed"))
 
 
+def summed_ink(pieces):
+    """``summed`` of packed ink."""
+
+    def run(batches):
+        for batch in batches:
+            rows, out = {c: batch.column(c) for c in batch.schema.names}, []
+            for i, n in enumerate(rows["n"].to_pylist()):
+                total = placed = None
+                if rows["ink"][i].is_valid:
+                    y, x, _ = image.unpacked(rows, i, True)
+                    place = (y * WIDE + x + 1)[image.inked(rows, i)]
+                    total, placed = len(place), int(place.sum())
+                out.append((n, total, placed))
+            yield pa.RecordBatch.from_arrays([rows["page"], *[pa.array([o[k] for o in out], pa.int64()) for k in range(3)]], names=["page", "n", "total", "placed"])
+
+    kind = pieces.schema["page"].dataType.simpleString()
+    return pieces.mapInArrow(run, f"page {kind}, n long, total long, placed long").groupBy("page").agg(*[F.sum(c).alias(c) for c in ("n", "total", "placed")])
+
+
 SUMMED_SQL = f"count(*) AS n, sum(v)::BIGINT AS total, sum(v * (y * {WIDE} + x + 1))::BIGINT AS placed"
 
 
@@ -63,7 +104,7 @@ query("g02_to_gray")(lambda spark, d: summed(image.to_gray(coloured(spark, d)),
   i AS (SELECT page, y, x, (CASE WHEN middle < 0.01 THEN l.v < 128 ELSE norm < threshold END)::INTEGER AS v FROM l JOIN t USING (page))
   SELECT page, {SUMMED_SQL} FROM i GROUP BY page""")
 def g03(spark, d):
-    return summed(image.binarize(bitmap(spark, d)), "ink")
+    return summed_ink(image.binarized(bitmap_pieces(spark, d)))
 
 
 RUNS_SQL = f"(SELECT page, y, min(x) AS x0, max(x) AS x1 FROM (SELECT page, y, x, x - row_number() OVER (PARTITION BY page, y ORDER BY x) AS g FROM {INK_SQL}) GROUP BY page, y, g)"
