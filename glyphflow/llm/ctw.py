@@ -10,6 +10,10 @@ a task weighs whole subtrees, a bounded number of grams at a time, and hands up
 256**TOP * 255 nodes; they are weighed on the driver and broadcast, and a second pass over the subtrees gives each gram its log probability. Grams meet their words, and rare
 words their texts, in joins; as many frequent words as ``TABLE_BYTES`` hold are broadcast. The tree has a node for every context of every word, so it grows with the corpus.
 
+With ``across`` contexts don't end at a token: a text is one sequence, and a byte is predicted from the up to ``DEPTH`` bytes before it in its text, terminators included.
+Grams are then counted place by place, packed and dealt by ``BUCKETS`` of their first ``TOP`` + 1 bytes of context. Their logs meet the texts' places in the buckets, and
+sums by text go back; as many frequent grams as ``TABLE_BYTES`` hold are broadcast, so that their places don't travel.
+
 Defined results: a null text counts as empty (one end token); texts and words may have any length; rows without id count as training rows; equal rows get equal scores,
 repeated training rows count each time; with no training rows every decision has chance 1/2; the result has its own columns only, so names of ``df`` can't clash; an empty
 table gives an empty table.
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphflow.llm.common import chunks, materialise, shuffled
+from glyphflow.llm.common import chunks, few_at_once, materialise, shuffled
 
 DEPTH, TOP = 7, 2
 #: Stands at the end of every token, and so before the next.
@@ -38,6 +42,8 @@ TABLE_BYTES = 24 << 20
 GATHER = 500_000
 #: Grams that are weighed at once, if no subtree has more.
 BLOCK = 1 << 18
+#: Parts that grams are dealt to by their context, places that are taken at once, and grams or places that a task gathers before it hands them on.
+BUCKETS, AT_ONCE, HELD = 1024, 1 << 19, 3 << 20
 HALF = math.log(0.5)
 
 
@@ -68,14 +74,51 @@ def kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The grams of these tokens, one after the other: context, newest byte highest, above the byte; and each token's number of grams."""
     sizes = np.array([len(w) + 1 for w in words], dtype=np.int64)
-    data = np.frombuffer(b"".join([x for w in words for x in (w, b" ")]), dtype=np.uint8).astype(np.uint64)
+    return _grams(b"".join([x for w in words for x in (w, b" ")]), sizes)[0], sizes
+
+
+def _grams(whole: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of sequences of these sizes, and each one's place in its own."""
+    data = np.frombuffer(whole, dtype=np.uint8).astype(np.uint64)
     place = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     out = data.copy()
     for back in range(1, DEPTH + 1):
         before = np.full(len(data), STOP, dtype=np.uint64)
         before[back:] = data[:-back]
         out |= np.where(place >= back, before, np.uint64(STOP)) << np.uint64(64 - 8 * back)
-    return out, sizes
+    return out, place
+
+
+def sequence(text: str | None) -> bytes:
+    """The tokens of a text, each with its terminator, but the end without."""
+    return b"".join([x for w in low(text).split() for x in (w, b" ")])
+
+
+def places(texts: list[bytes], limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The grams of each of these sequences and its end, at most ``limit`` and a text's rest at once, with the number of their text. A longer text is cut, its contexts are not."""
+    held: list[tuple[int, bytes, int]] = []
+
+    def done() -> tuple[np.ndarray, np.ndarray]:
+        sizes, lead = np.array([len(h[1]) for h in held]), np.array([h[2] for h in held])
+        grams, place = _grams(b"".join(h[1] for h in held), sizes)
+        of = np.repeat([h[0] for h in held], sizes)
+        if lead.any():
+            own = place >= np.repeat(lead, sizes)
+            grams, of = grams[own], of[own]
+        return grams, of
+
+    size = 0
+    for i, t in enumerate(texts):
+        t += b" "
+        for a in range(0, len(t), limit):
+            if size and size + min(len(t) - a, limit) > limit:
+                yield done()
+                held, size = [], 0
+            lead = min(a, DEPTH)
+            held.append((i, t[a - lead : a + limit], lead))
+            size += len(held[-1][1])
+    if held:
+        yield done()
 
 
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -325,6 +368,203 @@ def word_scores(words: DataFrame) -> DataFrame:
     return shuffled(_spelled(words), logs, "gram").groupBy("wid").agg(F.sum("log").alias("score"))
 
 
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of eight bytes a value, byte by byte, compressed."""
+    return pa.compress(b"".join(c.view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: pa.Scalar, size: int, *kinds) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(data.as_buffer(), decompressed_size=8 * size * len(kinds), codec="zstd"), np.uint8).reshape(len(kinds), 8, size)
+    return [np.ascontiguousarray(r.T).view(k).ravel() for r, k in zip(raw, kinds)]
+
+
+def _by_bucket(grams: np.ndarray, other: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, size, data) of grams and what belongs to them."""
+    context = grams >> np.uint64(64 - 8 * (TOP + 1))
+    bucket = ((context * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)) >> np.uint64(16)).astype(np.uint16) % np.uint16(BUCKETS)
+    order = np.argsort(bucket, kind="stable")
+    bucket, grams, other = bucket[order], grams[order], other[order]
+    ends = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+    for s, e in zip(ends, ends[1:]):
+        if e > s:
+            yield int(bucket[s]), e - s, _packed(grams[s:e], other[s:e])
+
+
+def _batch(rows: list[tuple], names: str, *kinds: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names.split())
+
+
+def _tallied(rows: DataFrame) -> DataFrame:
+    """(bucket, size, data): partial training counts of the grams of texts, zero for those that are only held out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held = none
+        for batch in chunks(batches):
+            texts, out = [sequence(t) for t in batch.column("text").to_pylist()], batch.column("held_out").to_numpy(zero_copy_only=False)
+            for grams, of in places(texts, AT_ONCE):
+                parts = [held]
+                for some, times in ((~out[of], 1), (out[of], 0)):
+                    g = np.sort(grams[some])
+                    if len(g):
+                        at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+                        parts.append((g[at], np.diff(at, append=len(g)) * times))
+                held = summed(*map(np.concatenate, zip(*parts)))
+                if len(held[0]) > HELD:
+                    yield _batch(list(_by_bucket(*held)), "bucket size data", pa.int32(), pa.int32(), pa.binary())
+                    held = none
+        if len(held[0]):
+            yield _batch(list(_by_bucket(*held)), "bucket size data", pa.int32(), pa.int32(), pa.binary())
+
+    return rows.select("text", "held_out").mapInArrow(run, "bucket int, size int, data binary")
+
+
+def _grown(tallied: DataFrame) -> DataFrame:
+    """(bucket, size, data) of each bucket's grams and counts, whole subtrees; and rows (key, a, b, below) for depth TOP."""
+    kinds = {"bucket": pa.int32(), "size": pa.int32(), "data": pa.binary(), "key": pa.int64(), "a": pa.int64(), "b": pa.int64(), "below": pa.float64()}
+
+    def rows(n: int, **given) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(n, t) for c, t in kinds.items()], names=list(kinds))
+
+    def done(bucket: int, held: list) -> Iterator[pa.RecordBatch]:
+        grams, n = summed(*map(np.concatenate, zip(*held)))
+        yield rows(1, bucket=[bucket], size=[len(grams)], data=[_packed(grams, n)])
+        keys, a, b, below = Subtrees(grams, n).handed_up()
+        yield rows(len(keys), key=keys.view(np.int64), a=a.astype(np.int64), b=b.astype(np.int64), below=below)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size = None, [], 0
+        for batch in batches:
+            for bucket, k, data in zip(batch.column("bucket").to_pylist(), batch.column("size").to_pylist(), batch.column("data")):
+                if held and bucket != now:
+                    yield from done(now, held)
+                    held, size = [], 0
+                now = bucket
+                held.append(_unpacked(data, k, np.uint64, np.int64))
+                size += k
+                if size > HELD:
+                    held = [summed(*map(np.concatenate, zip(*held)))]
+                    size = len(held[0][0]) // 2
+        if held:
+            yield from done(now, held)
+
+    return tallied.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, size int, data binary, key long, a long, b long, below double")
+
+
+def _leaves(grown: DataFrame, top) -> DataFrame:
+    """(bucket, size, data): grams, counts and logs of each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, k, data in zip(batch.column("bucket").to_pylist(), batch.column("size").to_pylist(), batch.column("data")):
+                grams, n = _unpacked(data, k, np.uint64, np.int64)
+                yield _batch([(bucket, k, _packed(grams, n, Subtrees(grams, n).logs(top.value)))], "bucket size data", pa.int32(), pa.int32(), pa.binary())
+
+    return grown.select("bucket", "size", "data").mapInArrow(run, "bucket int, size int, data binary")
+
+
+def _frequent(leaves: DataFrame, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent grams that fit in ``room`` bytes, sorted, and their logs."""
+
+    def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, data in zip(batch.column("size").to_pylist(), batch.column("data")):
+                n = _unpacked(data, k, np.uint64, np.int64, np.float64)[1]
+                m, many = np.unique(np.frexp(n[n > 0].astype(np.float64))[1] - 1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(m, pa.int32()), pa.array(many, pa.int64())], names=["m", "many"])
+
+    least, taken = None, 0
+    for r in sorted(leaves.mapInArrow(orders, "m int, many long").groupBy("m").agg(F.sum("many").alias("many")).collect(), reverse=True):  # at most 64 rows
+        taken += 16 * r["many"]
+        if taken > room:
+            break
+        least = 1 << r["m"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0)
+
+    def those(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, data in zip(batch.column("size").to_pylist(), batch.column("data")):
+                grams, n, log = _unpacked(data, k, np.uint64, np.int64, np.float64)
+                some = n >= least
+                yield pa.RecordBatch.from_arrays([pa.array(grams[some].view(np.int64)), pa.array(log[some])], names=["gram", "log"])
+
+    found = leaves.mapInArrow(those, "gram long, log double").toArrow()
+    grams, log = found["gram"].to_numpy().view(np.uint64), found["log"].to_numpy()
+    order = np.argsort(grams)
+    return grams[order], log[order]
+
+
+def text_scores(rows: DataFrame, room: int = TABLE_BYTES) -> DataFrame:
+    """(rid, score): log10 probability of each whole text of (rid, text, held_out), contexts reaching over its tokens. ``rows`` must give the same rows each time."""
+    spark = rows.sparkSession
+    grown = materialise(_grown(_tallied(rows)), "ctw-tree")
+    sums = grown.where("key IS NOT NULL").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("a", "b", "below")]).toArrow()  # at most 256**TOP * 255 rows
+    top = spark.sparkContext.broadcast(weigh_top(sums["key"].to_numpy().view(np.uint64), *[sums[c].to_numpy() for c in ("a", "b", "below")]))
+    leaves = materialise(_leaves(grown.where("key IS NULL"), top), "ctw-logs")
+    often = spark.sparkContext.broadcast(_frequent(leaves, room))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, logs = often.value
+        held, size = [], 0
+
+        def dealt() -> pa.RecordBatch:
+            grams, rid = map(np.concatenate, zip(*held))
+            order = np.argsort(grams)
+            return _batch([(b, 1, k, d) for b, k, d in _by_bucket(grams[order], rid[order])], "bucket kind size data", pa.int32(), pa.int32(), pa.int32(), pa.binary())
+
+        for batch in chunks(batches):
+            rid, total = batch.column("rid").to_numpy(), np.zeros(batch.num_rows)
+            for grams, of in places([sequence(t) for t in batch.column("text").to_pylist()], AT_ONCE):
+                order = np.argsort(grams)
+                grams, of = grams[order], of[order]
+                new = np.concatenate([[True], grams[1:] != grams[:-1]])
+                each = grams[new]
+                at = np.minimum(np.searchsorted(known, each), max(len(known) - 1, 0))
+                hit = known[at] == each if len(known) else np.zeros(len(each), bool)
+                of_each = np.cumsum(new) - 1
+                total += np.bincount(of, weights=np.where(hit, logs[at], 0.0)[of_each] if len(known) else None, minlength=len(total)) if len(known) else 0.0
+                cold = ~hit[of_each]
+                held.append((grams[cold], rid[of[cold]]))
+                size += len(held[-1][0])
+                if size >= HELD // 2:
+                    yield dealt()
+                    held, size = [], 0
+            yield _batch([(int(rid[0]) % BUCKETS, 2, len(rid), _packed(rid, total))], "bucket kind size data", pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        if size:
+            yield dealt()
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, logs, held, size = np.zeros(0, np.uint64), np.zeros(0), [], 0
+
+        def done() -> tuple[np.ndarray, np.ndarray]:
+            return summed(*map(np.concatenate, zip(*held)))
+
+        for batch in batches:
+            for kind, k, data in zip(batch.column("kind").to_pylist(), batch.column("size").to_pylist(), batch.column("data")):
+                if kind == 0:  # before the places of its bucket
+                    known, _, logs = _unpacked(data, k, np.uint64, np.int64, np.float64)
+                elif kind == 1:
+                    grams, rid = _unpacked(data, k, np.uint64, np.int64)
+                    held.append((rid, logs[np.searchsorted(known, grams)]))
+                else:
+                    held.append(tuple(_unpacked(data, k, np.int64, np.float64)))
+                size += k if kind else 0
+                if size > HELD // 4:
+                    held = [done()]
+                    size = len(held[0][0]) // 2
+                    if size > HELD // 16:
+                        yield pa.RecordBatch.from_arrays(list(map(pa.array, held[0])), names=["rid", "score"])
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, done())), names=["rid", "score"])
+
+    asked = rows.select("rid", "text").mapInArrow(placed, "bucket int, kind int, size int, data binary")
+    both = leaves.select("bucket", F.lit(0).alias("kind"), "size", "data").unionByName(asked)
+    sums = both.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(met, "rid long, score double")
+    return sums.groupBy("rid").agg(F.sum("score").alias("score"))
+
+
 def threshold(words: DataFrame, room: int) -> int | None:
     """The least count from which on all words fit in ``room`` bytes, by their orders of magnitude, at most 64 rows."""
     taken, least = 0, None
@@ -336,12 +576,15 @@ def threshold(words: DataFrame, room: int) -> int | None:
     return least
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, room: int = TABLE_BYTES) -> DataFrame:
-    """For each row: its id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, room: int = TABLE_BYTES, across: bool = False) -> DataFrame:
+    """For each row: its id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte. ``across``: contexts reach over the tokens of a text, else each token starts anew."""
     spark = df.sparkSession
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), held_out(id_col, folds, fold).alias("held_out"))
+    if across:
+        few_at_once(spark)
+    rows = materialise(rows.withColumn("rid", F.monotonically_increasing_id()), "ctw-texts") if across else rows
     counts = materialise(_counted(rows).groupBy("word").agg(F.sum("n").alias("n")).withColumn("wid", F.monotonically_increasing_id()), "ctw-words")
-    scored = materialise(shuffled(counts, word_scores(counts), "wid").select("word", "n", "score"), "ctw-scored")
+    scored = counts.select("word", "n", F.lit(0.0).alias("score")) if across else materialise(shuffled(counts, word_scores(counts), "wid").select("word", "n", "score"), "ctw-scored")
     end = scored.where("word IS NULL").first()
     words = scored.where("word IS NOT NULL")
     total, distinct = counts.where("n > 0").agg(F.sum("n"), F.count(F.lit(1))).first()
@@ -349,11 +592,14 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     least = threshold(words, room)
     often = words.where(F.col("n") >= least).toArrow() if least else None
     shared = spark.sparkContext.broadcast(often)
-    first = materialise(_scored(rows.withColumn("rid", F.monotonically_increasing_id()), shared, end), "ctw-rows")
+    first = materialise(_scored(rows if across else rows.withColumn("rid", F.monotonically_increasing_id()), shared, end), "ctw-rows")
     rest = words.where(F.col("n") < least) if least else words
     found = shuffled(first.select("rid", F.explode("rest").alias("word")), rest, "word").groupBy("rid").agg(
         F.sum(F.log10(F.col("n") + 1)).alias("more"), F.sum((F.col("n") > 0).cast("long")).alias("more_known"), F.sum("score").alias("more_score")
     )
+    if across:
+        found = found.withColumn("more_score", F.lit(0.0))
+        first = shuffled(first.drop("score"), text_scores(rows, room), "rid")
     each = math.log10(total + distinct + 1)
     whole = F.col("score") + F.coalesce("more_score", F.lit(0.0))
     return shuffled(first, found, "rid", "left").select(

@@ -109,7 +109,7 @@ FROM d LEFT JOIN places USING (rid) LEFT JOIN owners USING (rid)
 """
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ctw.score(_docs(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+    return ctw.score(_docs(spark, sf_dir), across=True).withColumnRenamed("id", "doc_id")
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -553,6 +553,35 @@ def test_scores_of_texts(spark):
     assert len(long) == len(rows) and all(r.score < 0 for r in long.values())
 
 
+@pytest.mark.parametrize("room", [1 << 20, 600, 0])
+def test_contexts_reach_over_tokens(spark, room):
+    """Whole texts by the same recursion: a text is one token with its terminators inside; frequent grams, places that travel and both give the same."""
+    texts = ["Ab ab c", "ab  cab\tab", None, "", "c ab c ab c", "\x00 ab 中文", "zz 9"]
+    rows = list(enumerate(texts * 3)) + [(None, "ab c")]
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    whole = lambda t: b"".join(w + b" " for w in (t or "").encode().lower().split())
+    log = brute_tree([whole(t) for i, t in rows if not out(i)])
+    got = ctw.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), room=room, across=True).collect()
+    want = sorted((-1 if i is None else i, log(whole(t)), len(whole(t)) + 1) for i, t in rows)
+    assert len(got) == len(want)
+    for r, (i, score, n) in zip(sorted(got, key=lambda r: -1 if r.id is None else r.id), want):
+        assert (-1 if r.id is None else r.id) == i and abs(r.score - score) < 1e-9 and abs(r.bits_per_byte + score * math.log2(10) / n) < 1e-9
+
+
+def test_places_of_cut_texts():
+    texts = [b"", b"ab " * 50, b"x" * 100 + b" ", b"c "]
+    want = [(g, i) for i, t in enumerate(texts) for g in ctw.grams_of([t])[0].tolist()]
+    for limit in (1, 5, 8, 64, 1000):
+        assert [x for grams, of in ctw.places(texts, limit) for x in zip(grams.tolist(), of.tolist())] == want
+
+
+def test_op8_reads_contexts_over_tokens(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got, whole, parts = ({r[0]: r.score for r in rows.collect()} for rows in (queries.op8_lm_scoring(spark, folder), ctw.score(docs, across=True), ctw.score(docs)))
+    assert got.keys() == whole.keys() and all(abs(got[i] - whole[i]) < 1e-6 < abs(got[i] - parts[i]) for i in got)
+
+
 def test_kt_of_large_counts():
     a, b = np.array([0, 3, 5000, 4095, 10**6]), np.array([0, 0, 7, 4095, 3])
     want = [math.lgamma(x + 0.5) + math.lgamma(y + 0.5) - math.lgamma(x + y + 1) - math.log(math.pi) if x + y else 0 for x, y in zip(a.tolist(), b.tolist())]
