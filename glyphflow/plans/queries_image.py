@@ -52,6 +52,27 @@ def inked(spark, d):
     return bitmap(spark, d).where(F.chr("v").isin("a", "e", "i", "o")).select("page", "y", "x")
 
 
+def inked_runs(spark, d):
+    """The ink as ``image.packed_runs`` gives it, each text packed where it is read."""
+
+    def run(batches):
+        for batch in batches:
+            of, bands, data = [], [], []
+            for i, t in enumerate(batch.column("html").to_pylist()):
+                at = np.flatnonzero(np.isin(np.frombuffer(t.encode("utf-32-le"), "<u4"), [ord(c) for c in "aeio"]))
+                y, x = at // WIDE, at % WIDE
+                for band in range(int(y[0]) // image.BAND, int(y[-1]) // image.BAND + 1) if len(at) else ():
+                    s, e = np.searchsorted(y, [band * image.BAND, (band + 1) * image.BAND])
+                    if e > s:
+                        of.append(i)
+                        bands.append(band)
+                        data.append(np.stack([y[s:e] - band * image.BAND, x[s:e], np.zeros(e - s, np.int64)]).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("page").take(pa.array(of, pa.int32())), pa.array(bands, pa.int64()), pa.array(data, pa.binary())], names=["page", "band", "data"])
+
+    rows = read(spark, d, "pages").select(F.col("page_id").alias("page"), "html").dropna()
+    return rows.mapInArrow(run, f"page {rows.schema['page'].dataType.simpleString()}, band long, data binary")
+
+
 def summed(rows, value: str):
     """One row a page: the sum of the values, and of the values by place."""
     place = F.col("y") * WIDE + F.col("x") + 1
@@ -147,7 +168,7 @@ def g05(spark, d):
     return image.skew(image.runs(inked(spark, d)))
 
 
-query("m08_columns")(lambda spark, d: image.columns(inked(spark, d)))
+query("m08_columns")(lambda spark, d: image.columned(inked_runs(spark, d)))
 
 
 @query("io09_io16_png", f"SELECT page, {SUMMED_SQL} FROM {BITMAP_SQL} GROUP BY page")
