@@ -61,12 +61,12 @@ def inked_runs(spark, d):
             for i, t in enumerate(batch.column("html").to_pylist()):
                 at = np.flatnonzero(np.isin(np.frombuffer(t.encode("utf-32-le"), "<u4"), [ord(c) for c in "aeio"]))
                 y, x = at // WIDE, at % WIDE
-                for band in range(int(y[0]) // image.BAND, int(y[-1]) // image.BAND + 1) if len(at) else ():
-                    s, e = np.searchsorted(y, [band * image.BAND, (band + 1) * image.BAND])
+                for band in range(int(y[0]) // image.TALL, int(y[-1]) // image.TALL + 1) if len(at) else ():
+                    s, e = np.searchsorted(y, [band * image.TALL, (band + 1) * image.TALL])
                     if e > s:
                         of.append(i)
                         bands.append(band)
-                        data.append(np.stack([y[s:e] - band * image.BAND, x[s:e], np.zeros(e - s, np.int64)]).astype(np.int32).tobytes())
+                        data.append(np.stack([y[s:e] - band * image.TALL, x[s:e], np.zeros(e - s, np.int64)]).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("page").take(pa.array(of, pa.int32())), pa.array(bands, pa.int64()), pa.array(data, pa.binary())], names=["page", "band", "data"])
 
     rows = read(spark, d, "pages").select(F.col("page_id").alias("page"), "html").dropna()
