@@ -12,7 +12,7 @@ words their texts, in joins; as many frequent words as ``TABLE_BYTES`` hold are
 
 With ``across`` contexts don't end at a token: a text is one sequence, and a byte is predicted from the up to ``DEPTH`` bytes before it in its text, terminators included.
 Grams are then counted place by place, packed and dealt by ``BUCKETS`` of their first ``TOP`` + 1 bytes of context. Their logs meet the texts' places in the buckets, and
-sums by text go back; as many frequent grams as ``TABLE_BYTES`` hold are broadcast, so that their places don't travel.
+sums by text go back, packed too; as many frequent grams as ``TABLE_BYTES`` hold are broadcast, so that their places don't travel.
 
 Defined results: a null text counts as empty (one end token); texts and words may have any length; rows without id count as training rows; equal rows get equal scores,
 repeated training rows count each time; with no training rows every decision has chance 1/2; the result has its own columns only, so names of ``df`` can't clash; an empty
@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphflow.llm.common import chunks, few_at_once, materialise, shuffled
+from glyphflow.llm.common import chunks, few_at_once, materialise, release, shuffled, sweep
 
 DEPTH, TOP = 7, 2
 #: Stands at the end of every token, and so before the next.
 STOP = 32
+START = bytes([STOP]) * DEPTH
 #: Bytes of words that are broadcast with their counts and scores, 32 bytes a word included.
 TABLE_BYTES = 24 << 20
 #: Distinct words that a task gathers before it hands on its counts.
@@ -43,7 +45,11 @@ GATHER = 500_000
 #: Grams that are weighed at once, if no subtree has more.
 BLOCK = 1 << 18
 #: Parts that grams are dealt to by their context, places that are taken at once, and grams or places that a task gathers before it hands them on.
-BUCKETS, AT_ONCE, HELD = 1024, 1 << 19, 3 << 20
+BUCKETS, AT_ONCE, HELD = 1 << 10, 1 << 19, 3 << 20
+#: Places that a task counts at once, 8 bytes each.
+TALLIED = 4 << 20
+#: What the newest bytes of context are multiplied by, and where they stand in a gram.
+ODD, LOW, REST = 0x9E3779B1, np.uint64(64 - 8 * (TOP + 1)), np.uint64((1 << 64 - 8 * (TOP + 1)) - 1)
 HALF = math.log(0.5)
 
 
@@ -58,17 +64,28 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
 
 SMALL = 4096
 HALVES, WHOLES = log_gamma(np.arange(SMALL) + 0.5), log_gamma(np.arange(2 * SMALL) + 1.0)
+#: Block probabilities of pairs of counts below FEW, which nearly all nodes have.
+FEW = 64
+PAIRS = (HALVES[:FEW, None] + HALVES[:FEW] - WHOLES[np.arange(FEW)[:, None] + np.arange(FEW)] - math.log(math.pi)).ravel()
+PAIRS[0] = 0.0
 
 
 def kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov block probability of so many zeros and ones."""
+    more = np.flatnonzero((a | b) >= FEW)
+    if not len(more):
+        return PAIRS[a * FEW + b]
+    pair = a * FEW + b
+    pair[more] = 0
+    out, a, b = PAIRS[pair], a[more], b[more]
     big = (a >= SMALL) | (b >= SMALL)
     x, y = np.where(big, 0, a), np.where(big, 0, b)
-    out = HALVES[x] + HALVES[y] - WHOLES[x + y] - math.log(math.pi)
+    part = HALVES[x] + HALVES[y] - WHOLES[x + y] - math.log(math.pi)
     if big.any():
         x, y = a[big].astype(np.float64), b[big].astype(np.float64)
-        out[big] = log_gamma(x + 0.5) + log_gamma(y + 0.5) - log_gamma(x + y + 1) - math.log(math.pi)
-    return np.where(a + b > 0, out, 0.0)
+        part[big] = log_gamma(x + 0.5) + log_gamma(y + 0.5) - log_gamma(x + y + 1) - math.log(math.pi)
+    out[more] = part
+    return out
 
 
 def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -91,38 +108,47 @@ def _grams(whole: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def sequence(text: str | None) -> bytes:
     """The tokens of a text, each with its terminator, but the end without."""
-    return b"".join([x for w in low(text).split() for x in (w, b" ")])
+    words = low(text).split()
+    return b" ".join([*words, b""])
+
+
+def windows(data: bytes) -> np.ndarray:
+    """The gram of each byte that has ``DEPTH`` bytes before it."""
+    out = np.empty(len(data) - DEPTH, np.uint64)
+    for first in range(min(8, len(out))):
+        to = out[first::8]
+        to[:] = np.frombuffer(data, "<u8", len(to), first)
+    return out << np.uint64(8) | out >> np.uint64(56)
 
 
 def places(texts: list[bytes], limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The grams of each of these sequences and its end, at most ``limit`` and a text's rest at once, with the number of their text. A longer text is cut, its contexts are not."""
-    held: list[tuple[int, bytes, int]] = []
+    held: list[tuple[int, bytes]] = []  # each piece with the DEPTH bytes before it
 
     def done() -> tuple[np.ndarray, np.ndarray]:
-        sizes, lead = np.array([len(h[1]) for h in held]), np.array([h[2] for h in held])
-        grams, place = _grams(b"".join(h[1] for h in held), sizes)
-        of = np.repeat([h[0] for h in held], sizes)
-        if lead.any():
-            own = place >= np.repeat(lead, sizes)
-            grams, of = grams[own], of[own]
-        return grams, of
+        sizes = np.array([len(h[1]) for h in held])
+        grams = windows(b"".join(h[1] for h in held))
+        if len(held) > 1:  # without those that end before their piece
+            own = np.ones(len(grams), bool)
+            own[(np.cumsum(sizes)[:-1, None] - np.arange(1, DEPTH + 1)).ravel()] = False
+            grams = grams[own]
+        return grams, np.repeat([h[0] for h in held], sizes - DEPTH)
 
     size = 0
     for i, t in enumerate(texts):
-        t += b" "
-        for a in range(0, len(t), limit):
-            if size and size + min(len(t) - a, limit) > limit:
+        t = START + t + b" "
+        for a in range(0, len(t) - DEPTH, limit):
+            if size and size + min(len(t) - DEPTH - a, limit) > limit:
                 yield done()
                 held, size = [], 0
-            lead = min(a, DEPTH)
-            held.append((i, t[a - lead : a + limit], lead))
-            size += len(held[-1][1])
+            held.append((i, t[a : a + DEPTH + limit]))
+            size += len(held[-1][1]) - DEPTH
     if held:
         yield done()
 
 
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, n = keys[order], n[order]
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[at], np.add.reduceat(n, at)
@@ -131,19 +157,27 @@ def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Nodes:
     """The decisions of one depth at one bit: groups of sorted rows (context above byte) with the zeros and ones of training."""
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray, bit: int):
+    def __init__(self, keys: np.ndarray, n: np.ndarray, total: np.ndarray, bit: int):
         prefix = keys >> np.uint64(8 - bit)
-        new = np.concatenate([[True], prefix[1:] != prefix[:-1]])
+        new = np.empty(len(keys), bool)
+        new[0] = True
+        np.not_equal(prefix[1:], prefix[:-1], out=new[1:])
         self.first, self.at = np.flatnonzero(new), np.cumsum(new) - 1
-        self.b = np.add.reduceat(np.where(keys >> np.uint64(7 - bit) & np.uint64(1), n, 0), self.first)
-        self.a = np.add.reduceat(n, self.first) - self.b
+        ends = np.append(self.first[1:], len(keys)) - 1
+        ones = np.cumsum(n * (keys >> np.uint64(7 - bit) & np.uint64(1)).view(np.int64))[ends]
+        self.b = np.diff(ones, prepend=0)
+        self.a = np.diff(total[ends], prepend=0) - self.b
         self.kt = kt(self.a, self.b)
         self.one = (self.b + 0.5) / (self.a + self.b + 1)
 
     def weigh(self, below: np.ndarray | None) -> None:
         """Block probability and weight of stopping, from the sum of the children's log block probabilities."""
-        self.log = self.kt if below is None else np.logaddexp(HALF + self.kt, HALF + below)
-        self.stop = np.exp(HALF + self.kt - self.log) if below is not None else np.ones(len(self.kt))
+        if below is None:
+            self.log, self.stop = self.kt, np.ones(len(self.kt))
+            return
+        less = np.exp(-np.abs(below - self.kt))
+        self.log = HALF + np.maximum(self.kt, below) + np.log1p(less)
+        self.stop = np.where(below > self.kt, less, 1.0) / (1 + less)
 
     def descend(self, sure: np.ndarray, left: np.ndarray, last: np.ndarray) -> None:
         """From what the parents pass on (chance so far, weight left, chance if the path ended there): the same for the children."""
@@ -164,10 +198,11 @@ class Subtrees:
             key = (below >> np.uint64(16)) << np.uint64(8) | below & np.uint64(255)
             self.keys[d], self.up[d + 1] = np.unique(key, return_inverse=True)
             self.n[d] = np.bincount(self.up[d + 1], weights=self.n[d + 1]).astype(np.int64)
+        self.total = {d: np.cumsum(n) for d, n in self.n.items()}
 
     def weighed(self, bit: int) -> tuple[dict[int, Nodes], dict[int, np.ndarray]]:
         """The nodes of each depth at this bit, and each node's parent."""
-        each = {d: Nodes(self.keys[d], self.n[d], bit) for d in self.keys}
+        each = {d: Nodes(self.keys[d], self.n[d], self.total[d], bit) for d in self.keys}
         parent = {d: each[d - 1].at[self.up[d][each[d].first]] for d in self.up}
         below = None
         for d in range(DEPTH, TOP, -1):
@@ -264,18 +299,24 @@ def _counted(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in part], pa.string()), pa.array([words[w] for w in part], pa.int64())], names=["word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, ends = Counter(), 0
+        words, others, ends = Counter(), set(), 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for w in others.difference(words):  # held out only, so that every word has a score
+                words[w] = 0
+            yield from of(words)
+
         for batch in chunks(batches):
             for t, held in zip(batch.column("text").to_pylist(), batch.column("held_out").to_pylist()):
-                if held:  # so that every word has a score
-                    words.update(dict.fromkeys(low(t).split(), 0))
+                if held:
+                    others.update(low(t).split())
                 else:
                     words.update(low(t).split())
                     ends += 1
-                if len(words) > GATHER:
-                    yield from of(words)
-                    words = Counter()
-        yield from of(words)
+                if len(words) + len(others) > GATHER:
+                    yield from done()
+                    words, others = Counter(), set()
+        yield from done()
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([ends], pa.int64())], names=["word", "n"])
 
     return rows.select("text", "held_out").mapInArrow(run, "word string, n long")
@@ -368,9 +409,22 @@ def word_scores(words: DataFrame) -> DataFrame:
     return shuffled(_spelled(words), logs, "gram").groupBy("wid").agg(F.sum("log").alias("score"))
 
 
+def mixed(grams: np.ndarray) -> np.ndarray:
+    """Grams with the newest ``TOP`` + 1 bytes of context multiplied, so that sorting them puts together the grams of a bucket, and in it those of a context."""
+    return (grams >> LOW) * np.uint64(ODD) << LOW | grams & REST
+
+
+def plain(grams: np.ndarray) -> np.ndarray:
+    return (grams >> LOW) * np.uint64(pow(ODD, -1, 256 ** (TOP + 1))) << LOW | grams & REST
+
+
+def _planes(*columns: np.ndarray) -> np.ndarray:
+    """Columns of eight bytes a value, byte by byte."""
+    return np.concatenate([np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T) for c in columns])
+
+
 def _packed(*columns: np.ndarray) -> bytes:
-    """Columns of eight bytes a value, byte by byte, compressed."""
-    return pa.compress(b"".join(c.view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns), codec="zstd", asbytes=True)
+    return pa.compress(_planes(*columns), codec="zstd", asbytes=True)
 
 
 def _unpacked(data: pa.Scalar, size: int, *kinds) -> list[np.ndarray]:
@@ -378,16 +432,14 @@ def _unpacked(data: pa.Scalar, size: int, *kinds) -> list[np.ndarray]:
     return [np.ascontiguousarray(r.T).view(k).ravel() for r, k in zip(raw, kinds)]
 
 
-def _by_bucket(grams: np.ndarray, other: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """(bucket, size, data) of grams and what belongs to them."""
-    context = grams >> np.uint64(64 - 8 * (TOP + 1))
-    bucket = ((context * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)) >> np.uint64(16)).astype(np.uint16) % np.uint16(BUCKETS)
-    order = np.argsort(bucket, kind="stable")
-    bucket, grams, other = bucket[order], grams[order], other[order]
+def _by_bucket(keys: np.ndarray, other: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, size, data) of mixed grams in order and what belongs to them; the data has the grams as they were."""
+    bucket = (keys >> np.uint64(64) - np.uint64(BUCKETS.bit_length() - 1)).astype(np.uint16)
+    planes = _planes(plain(keys), other)
     ends = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
     for s, e in zip(ends, ends[1:]):
         if e > s:
-            yield int(bucket[s]), e - s, _packed(grams[s:e], other[s:e])
+            yield int(bucket[s]), e - s, pa.compress(np.ascontiguousarray(planes[:, s:e]), codec="zstd", asbytes=True)
 
 
 def _batch(rows: list[tuple], names: str, *kinds: pa.DataType) -> pa.RecordBatch:
@@ -398,23 +450,34 @@ def _tallied(rows: DataFrame) -> DataFrame:
     """(bucket, size, data): partial training counts of the grams of texts, zero for those that are only held out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        held = none
+        held, size = {False: [], True: []}, 0
+
+        def counted(which: bool) -> tuple[np.ndarray, np.ndarray]:
+            g = np.concatenate([np.zeros(0, np.uint64), *held[which]])
+            held[which].clear()
+            g.sort()
+            at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])[: len(g)])
+            return g[at], np.diff(at, append=len(g))
+
+        def done() -> pa.RecordBatch:
+            grams, n = counted(False)
+            others, _ = counted(True)
+            if len(grams):
+                others = others[grams[np.minimum(np.searchsorted(grams, others), len(grams) - 1)] != others]
+            dealt = chain(_by_bucket(grams, n), _by_bucket(others, np.zeros(len(others), np.int64)))
+            return _batch(list(dealt), "bucket size data", pa.int32(), pa.int32(), pa.binary())
+
         for batch in chunks(batches):
-            texts, out = [sequence(t) for t in batch.column("text").to_pylist()], batch.column("held_out").to_numpy(zero_copy_only=False)
-            for grams, of in places(texts, AT_ONCE):
-                parts = [held]
-                for some, times in ((~out[of], 1), (out[of], 0)):
-                    g = np.sort(grams[some])
-                    if len(g):
-                        at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-                        parts.append((g[at], np.diff(at, append=len(g)) * times))
-                held = summed(*map(np.concatenate, zip(*parts)))
-                if len(held[0]) > HELD:
-                    yield _batch(list(_by_bucket(*held)), "bucket size data", pa.int32(), pa.int32(), pa.binary())
-                    held = none
-        if len(held[0]):
-            yield _batch(list(_by_bucket(*held)), "bucket size data", pa.int32(), pa.int32(), pa.binary())
+            texts, out = batch.column("text").to_pylist(), batch.column("held_out").to_pylist()
+            for which in held:
+                for grams, _ in places([sequence(t) for t, o in zip(texts, out) if o is which], AT_ONCE):
+                    held[which].append(mixed(grams))
+                    size += len(grams)
+                    if size >= TALLIED:
+                        yield done()
+                        size = 0
+        if size:
+            yield done()
 
     return rows.select("text", "held_out").mapInArrow(run, "bucket int, size int, data binary")
 
@@ -464,7 +527,7 @@ def _leaves(grown: DataFrame, top) -> DataFrame:
 
 
 def _frequent(leaves: DataFrame, room: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent grams that fit in ``room`` bytes, sorted, and their logs."""
+    """The most frequent grams that fit in ``room`` bytes, mixed and sorted, and their logs."""
 
     def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -490,9 +553,9 @@ def _frequent(leaves: DataFrame, room: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(grams[some].view(np.int64)), pa.array(log[some])], names=["gram", "log"])
 
     found = leaves.mapInArrow(those, "gram long, log double").toArrow()
-    grams, log = found["gram"].to_numpy().view(np.uint64), found["log"].to_numpy()
-    order = np.argsort(grams)
-    return grams[order], log[order]
+    keys, log = mixed(found["gram"].to_numpy().view(np.uint64)), found["log"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], log[order]
 
 
 def text_scores(rows: DataFrame, room: int = TABLE_BYTES) -> DataFrame:
@@ -502,31 +565,36 @@ def text_scores(rows: DataFrame, room: int = TABLE_BYTES) -> DataFrame:
     sums = grown.where("key IS NOT NULL").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("a", "b", "below")]).toArrow()  # at most 256**TOP * 255 rows
     top = spark.sparkContext.broadcast(weigh_top(sums["key"].to_numpy().view(np.uint64), *[sums[c].to_numpy() for c in ("a", "b", "below")]))
     leaves = materialise(_leaves(grown.where("key IS NULL"), top), "ctw-logs")
+    release(grown)
     often = spark.sparkContext.broadcast(_frequent(leaves, room))
+    sweep(spark)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, logs = often.value
         held, size = [], 0
 
         def dealt() -> pa.RecordBatch:
-            grams, rid = map(np.concatenate, zip(*held))
-            order = np.argsort(grams)
-            return _batch([(b, 1, k, d) for b, k, d in _by_bucket(grams[order], rid[order])], "bucket kind size data", pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            keys, rid = map(np.concatenate, zip(*held))
+            order = np.argsort(keys)
+            return _batch([(b, 1, k, d) for b, k, d in _by_bucket(keys[order], rid[order])], "bucket kind size data", pa.int32(), pa.int32(), pa.int32(), pa.binary())
 
         for batch in chunks(batches):
             rid, total = batch.column("rid").to_numpy(), np.zeros(batch.num_rows)
             for grams, of in places([sequence(t) for t in batch.column("text").to_pylist()], AT_ONCE):
-                order = np.argsort(grams)
-                grams, of = grams[order], of[order]
-                new = np.concatenate([[True], grams[1:] != grams[:-1]])
-                each = grams[new]
-                at = np.minimum(np.searchsorted(known, each), max(len(known) - 1, 0))
-                hit = known[at] == each if len(known) else np.zeros(len(each), bool)
-                of_each = np.cumsum(new) - 1
-                total += np.bincount(of, weights=np.where(hit, logs[at], 0.0)[of_each] if len(known) else None, minlength=len(total)) if len(known) else 0.0
-                cold = ~hit[of_each]
-                held.append((grams[cold], rid[of[cold]]))
-                size += len(held[-1][0])
+                keys = mixed(grams)
+                order = np.argsort(keys)
+                keys, of = keys[order], of[order]
+                if len(known):
+                    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+                    each = keys[new]
+                    at = np.minimum(np.searchsorted(known, each), len(known) - 1)
+                    hit = known[at] == each
+                    of_each = np.cumsum(new) - 1
+                    total += np.bincount(of, weights=np.where(hit, logs[at], 0.0)[of_each], minlength=len(total))
+                    cold = np.flatnonzero(~hit[of_each])
+                    keys, of = keys[cold], of[cold]
+                held.append((keys, rid[of]))
+                size += len(keys)
                 if size >= HELD // 2:
                     yield dealt()
                     held, size = [], 0
@@ -553,16 +621,38 @@ def text_scores(rows: DataFrame, room: int = TABLE_BYTES) -> DataFrame:
                 if size > HELD // 4:
                     held = [done()]
                     size = len(held[0][0]) // 2
-                    if size > HELD // 16:
-                        yield pa.RecordBatch.from_arrays(list(map(pa.array, held[0])), names=["rid", "score"])
+                    if size > HELD // 8:
+                        yield sent(*held[0])
                         held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, done())), names=["rid", "score"])
+            yield sent(*done())
+
+    def sent(rid: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+        part = (rid.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64) - np.uint64(BUCKETS.bit_length() - 1)).astype(np.uint16)
+        order = np.argsort(part, kind="stable")
+        ends = [0, *(np.flatnonzero(np.diff(part[order])) + 1).tolist(), len(part)]
+        each = [(int(part[o[0]]), len(o), _packed(rid[o], score[o])) for o in (order[s:e] for s, e in zip(ends, ends[1:]))]
+        return _batch(each, "part size data", pa.int32(), pa.int32(), pa.binary())
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, most = [], 0, HELD // 4
+        for batch in batches:
+            for k, data in zip(batch.column("size").to_pylist(), batch.column("data")):
+                held.append(_unpacked(data, k, np.int64, np.float64))
+                size += k
+                if size > most:
+                    held = [summed(*map(np.concatenate, zip(*held)))]
+                    size = len(held[0][0])
+                    most = max(most, 2 * size)
+        if held:
+            rid, score = summed(*map(np.concatenate, zip(*held)))
+            for i in range(0, len(rid), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(rid[i : i + 50_000]), pa.array(score[i : i + 50_000])], names=["rid", "score"])
 
     asked = rows.select("rid", "text").mapInArrow(placed, "bucket int, kind int, size int, data binary")
     both = leaves.select("bucket", F.lit(0).alias("kind"), "size", "data").unionByName(asked)
-    sums = both.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(met, "rid long, score double")
-    return sums.groupBy("rid").agg(F.sum("score").alias("score"))
+    sums = both.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(met, "part int, size int, data binary")
+    return sums.repartition("part").select("size", "data").mapInArrow(added, "rid long, score double")
 
 
 def threshold(words: DataFrame, room: int) -> int | None:
@@ -610,27 +700,36 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     )
 
 
+class Known(dict):
+    """Numbers of words, -1 for others."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 def _scored(rows: DataFrame, shared, end) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, at = shared.value, {}
+        often, at = shared.value, Known()
+        logs = scores = np.zeros(1)  # at the end, what other words have
         if often is not None:
-            at = {w.encode(): i for i, w in enumerate(often["word"].to_pylist())}
-            logs, scores = np.log10(often["n"].to_numpy() + 1.0), often["score"].to_numpy()
-        for batch in chunks(batches):
-            n_tokens, n_known, sums, score, rest, n_bytes = [], [], [], [], [], []
-            for t in batch.column("text").to_pylist():
-                words = low(t).split()
-                c = list(map(at.get, words))
-                more = [w.decode() for w, x in zip(words, c) if x is None] if None in c else []
-                i = np.array([x for x in c if x is not None] if more else c, dtype=np.int64)
-                n_tokens.append(len(words) + 1)
-                n_known.append(len(i) + (end["n"] > 0))
-                sums.append(math.log10(end["n"] + 1) + (float(logs[i].sum()) if len(i) else 0.0))
-                score.append(end["score"] + (float(scores[i].sum()) if len(i) else 0.0))
-                rest.append(more)
-                n_bytes.append(sum(map(len, words)) + len(words) + 1)
+            at = Known((w.encode(), i) for i, w in enumerate(often["word"].to_pylist()))
+            logs, scores = np.append(np.log10(often["n"].to_numpy() + 1.0), 0.0), np.append(often["score"].to_numpy(), 0.0)
+        for batch in chunks(batches, limit=2 << 20):
+            each = [low(t).split() for t in batch.column("text").to_pylist()]
+            sizes = np.array([len(words) for words in each])
+            c = np.fromiter(map(at.__getitem__, chain.from_iterable(each)), np.int64, int(sizes.sum()))
+            of = np.repeat(np.arange(len(each)), sizes)
+            sums = math.log10(end["n"] + 1) + np.bincount(of, weights=logs[c], minlength=len(each))
+            score = end["score"] + (np.bincount(of, weights=scores[c], minlength=len(each)) if scores.any() else np.zeros(len(each)))
+            others = np.flatnonzero(c < 0)
+            rest: list[list[str]] = [[] for _ in each]
+            starts = np.cumsum(sizes) - sizes
+            for i, place in zip(of[others].tolist(), (others - starts[of[others]]).tolist()):
+                rest[i].append(each[i][place].decode())
+            n_known = sizes - np.bincount(of[others], minlength=len(each)) + (end["n"] > 0)
+            n_bytes = [len(b" ".join(words)) + 2 if words else 1 for words in each]
             columns = [batch.column("id"), batch.column("held_out"), batch.column("rid")]
-            columns += [pa.array(x, k) for x, k in ((n_tokens, pa.int64()), (n_known, pa.int64()), (sums, pa.float64()), (rest, pa.list_(pa.string())), (score, pa.float64()), (n_bytes, pa.int64()))]
+            columns += [pa.array(x, k) for x, k in ((sizes + 1, pa.int64()), (n_known, pa.int64()), (sums, pa.float64()), (rest, pa.list_(pa.string())), (score, pa.float64()), (n_bytes, pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "held_out", "rid", "n_tokens", "n_known", "logs", "rest", "score", "n_bytes"])
 
     more = "n_tokens long, n_known long, logs double, rest array<string>, score double, n_bytes long"

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -575,6 +576,20 @@ def test_places_of_cut_texts():
         assert [x for grams, of in ctw.places(texts, limit) for x in zip(grams.tolist(), of.tolist())] == want
 
 
+def test_sums_of_texts_travel_packed(spark):
+    """What meets the leaves hands on rows by parts of the texts, not by texts; grams come back from their buckets, and a bucket is one stretch of mixed grams."""
+    rows = spark.createDataFrame([(i, f"w{i} ab{i % 7} c", False) for i in range(3000)], "rid long, text string, held_out boolean")
+    plan = ctw.text_scores(rows, 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "met(bucket" in plan and "[rid" not in next(line for line in plan.splitlines() if "met(bucket" in line).split("),")[-1]
+    grams = ctw.grams_of([b"abracadabra", "中文 é".encode() * 9])[0]
+    keys = np.sort(ctw.mixed(grams))
+    assert sorted(ctw.plain(keys).tolist()) == sorted(grams.tolist())
+    dealt = list(ctw._by_bucket(keys, np.arange(len(keys))))
+    assert len({b for b, _, _ in dealt}) == len(dealt) and sum(k for _, k, _ in dealt) == len(keys)
+    back = [ctw._unpacked(pa.scalar(d), k, np.uint64, np.int64) for _, k, d in dealt]
+    assert np.array_equal(np.concatenate([g for g, _ in back]), ctw.plain(keys)) and np.array_equal(np.concatenate([n for _, n in back]), np.arange(len(keys)))
+
+
 def test_op8_reads_contexts_over_tokens(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
