@@ -117,7 +117,7 @@ class Codec:
 
     def unfold(self, ids: Column) -> Column:
         """The bytes that these decimal ids, joined by commas, stand for."""
-        pieces = _let(self.pieces, lambda table: F.transform(F.split(ids, ","), lambda i: F.get(table, i.try_cast("int"))))
+        pieces = _let(self.pieces, lambda table: F.transform(F.split(ids, ",").try_cast("array<int>"), lambda i: F.get(table, i)))
         return F.encode(F.array_join(pieces, ""), "ISO-8859-1")
 
     def code(self, letters: Column) -> Column:

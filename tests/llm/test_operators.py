@@ -682,6 +682,14 @@ def test_bpe_decodes_the_ids_alone(spark, room):
     assert b"".join(back[int(i)] for i in row.ids_text.split(",")) == bytes(row.decoded) and row.n_tokens == row.ids_text.count(",") + 1
 
 
+def test_bpe_reads_numbers_of_a_text_at_once(spark):
+    """Ids become numbers in one compiled cast of the whole list, not one by one; no ids and unknown ones give no bytes."""
+    codec = bpe.Codec({b"a": 0, b"b": 1, b"ab": 2, "é".encode(): 3})
+    got = spark.createDataFrame([("2,0,3",), ("",), ("1,99,1",)], "ids string").select("ids", codec.unfold(F.col("ids")).alias("b"))
+    assert {r.ids: bytes(r.b).decode() for r in got.collect()} == {"2,0,3": "abaé", "": "", "1,99,1": "bb"}
+    assert "as array<int>" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 OWN = "_row _text _w _l _at known codes others cands key spans secret_spans n_words fail_bits n_bytes n_tokens hit_words hit_items fp id root cell rid lang word ids_text decoded held_out score".split()
 MADE = {
     "token_counts": ("n_bytes", "n_tokens", "over_limit"), "pii": ("spans",), "quality": (*quality.MEASURES, "fail_bits"), "decontaminate": decontaminate.RESULTS,
