@@ -672,7 +672,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), held_out(id_col, folds, fold).alias("held_out"))
     if across:
         few_at_once(spark)
-    rows = materialise(rows.withColumn("rid", F.monotonically_increasing_id()), "ctw-texts") if across else rows
+    rows = materialise(rows.withColumn("rid", F.monotonically_increasing_id()), "ctw-texts", "zstd") if across else rows
     counts = materialise(_counted(rows).groupBy("word").agg(F.sum("n").alias("n")).withColumn("wid", F.monotonically_increasing_id()), "ctw-words")
     scored = counts.select("word", "n", F.lit(0.0).alias("score")) if across else materialise(shuffled(counts, word_scores(counts), "wid").select("word", "n", "score"), "ctw-scored")
     end = scored.where("word IS NULL").first()

@@ -590,6 +590,13 @@ def test_sums_of_texts_travel_packed(spark):
     assert np.array_equal(np.concatenate([g for g, _ in back]), ctw.plain(keys)) and np.array_equal(np.concatenate([n for _, n in back]), np.arange(len(keys)))
 
 
+def test_op8_keeps_its_texts_small(spark, monkeypatch):
+    kept, write = {}, ctw.materialise
+    monkeypatch.setattr(ctw, "materialise", lambda df, label, *how: kept.setdefault(label, write(df, label, *how)))
+    assert ctw.score(spark.createDataFrame([(1, "ab " * 99), (2, None)], "doc_id long, text string"), across=True).count() == 2
+    assert all(f.endswith(".zstd.parquet") for f in kept["ctw-texts"].inputFiles())
+
+
 def test_op8_reads_contexts_over_tokens(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
