@@ -296,7 +296,7 @@ def m06(spark, d):
     broken = scripts.replaced(F.col("text"), (("in", "i\u202fn"), ("the", "t\u202fhe"), ("an", "a\u202f\u202fn")))
     texts = docs(spark, d).select("doc_id", scripts.translit_to_todo(broken).alias("text"))
     whole = docs(spark, d).select("doc_id", scripts.todo_to_translit(scripts.translit_to_todo(F.col("text"))).alias("text"))
-    return lm.join_broken_words(texts, "text", lexicon.frequencies(whole), script="todo").select("doc_id", "joined")
+    return lm.join_broken_words(texts, "text", lexicon.frequencies(whole), "text", script="todo").select("doc_id", F.col("text").alias("joined"))
 
 
 WORD_AT_SQL = r"SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents)"

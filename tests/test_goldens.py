@@ -3,12 +3,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from glyphflow import tables as t
 from glyphflow.functions import letters, scripts, tokens
-from glyphflow.operators import convert, fixer, language, lexicon, lm, models, page, reader, store
+from glyphflow.operators import broken, convert, fixer, language, lexicon, lm, models, page, reader, store
 from glyphflow.plans.pipeline import inline_results, process
 from glyphflow.plans.queries_corpus import LEXICON
 
@@ -327,3 +328,32 @@ def test_inline_of_every_text(spark, tmp_path):
     with duckdb.connect() as c:
         c.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
         assert got == sorted(c.execute(catalog.SQL["m11_inline"]).fetchall()) and [r[0] for r in got] == [1, 2, 3, 4, 5, 6, 9]
+
+
+@pytest.mark.parametrize("script, letters", [("todo", "ᠠᡄᡍᡃᠴᡅᡔᡘᡊᡉ"), ("translit", "ab:c")])
+def test_broken_words_by_numbers(spark, script, letters):
+    """Words known by numbers join as ``join_broken`` joins them: chains, marks, line breaks, empty parts, frequencies of every order."""
+    rng = random.Random(script)
+    said = lambda w: scripts.todo_to_translit(F.col(w)) if script == "todo" else F.col(w)
+    parts = ["".join(rng.choices(letters, k=rng.choice([1, 1, 2, 3]))) for _ in range(6)]
+    texts = ["".join(x for _ in range(rng.randint(0, 9)) for x in (rng.choice([*parts, ""]), rng.choice([" ", " ", " ", "  ", ", ", "\n ", "\n", ""]))) for _ in range(300)]
+    forms = sorted({f for x in texts for f in lm.formable(x, 12, script)})
+    spelled = {r.form: r.word for r in spark.createDataFrame([(f,) for f in forms], "form string").withColumn("word", said("form")).collect()}
+    words = {w: rng.randint(1, 4) for w in sorted(set(spelled.values())) if rng.random() < 0.3}
+    by_number = dict(zip(broken.word_numbers(list(words), script)[0].tolist(), words.values()))
+    gaps = broken.Gaps(texts, script)
+    got = gaps.texts(gaps.closed(lambda h: np.array([by_number.get(x, 0) for x in h.tolist()], dtype=np.int64), 24))
+    freq = {f: words[w] for f, w in spelled.items() if w in words}
+    assert got == [lm.join_broken(x, freq, script=script) for x in texts] and got != texts
+
+
+def test_broken_words_ask_only_for_known_words(spark):
+    """A gap whose joined word isn't known asks for nothing, however many words its text could make."""
+    gaps = broken.Gaps(["a " * 1000 + "b c"], "translit")
+    known = set(broken.word_numbers(["bc", "a" * 30], "translit")[0].tolist())
+    i, k = gaps.found(lambda h: np.isin(h, np.array(sorted(known), dtype=np.uint64)), 60)
+    assert list(zip(i, k)) == [(1000, 1000)]
+    rows = spark.range(20).select("id", F.lit("a " * 50).alias("row"), F.lit("b c").alias("t.x"))
+    freq = spark.createDataFrame([("bc", 2)], "word string, freq long")
+    out = lm.join_broken_words(rows, "t.x", freq, "t.x")
+    assert out.columns == ["id", "row", "t.x"] and {r["t.x"] for r in out.collect()} == {"bc"}
